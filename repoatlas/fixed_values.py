@@ -81,21 +81,26 @@ UNPARSED_SCORE = 0.1234
 MAX_MODEL_CHARS = 10000
 
 # --- fixed values: text patterns -------------------------------------------
-# White space as Python's str.split() and \s know it, spelled out because the
-# \s of Java (and of RE2) covers ASCII only.
-SPACE_CLASS = (
-    r"\t\n\x0b\x0c\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-)
-LINE_BREAKS_AND_COMMAS = r"[\n\r\t,]"
+# Character classes list single characters below 256 on purpose: the JVM tests
+# those by one table look-up, but every range or predefined class by a call.
+LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+LOWER_CASE = "abcdefghijklmnopqrstuvwxyz"
+DIGITS = "0123456789"
+# White space as Python's str.split() and \s know it: below 256, and above.
+SPACES = r"\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0"
+WIDE_SPACES = "\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 CODE_FENCE = r"(?s)```.*?```"
-NOT_PLAIN_ENGLISH = rf"[^a-zA-Z0-9.,!?{SPACE_CLASS}]+"
-TFIDF_TOKEN = r"[a-z0-9_]{2,}"
+NOT_PLAIN_ENGLISH = f"[^{LETTERS}{DIGITS}.,!?{SPACES}]+"
+TFIDF_TOKEN = f"[{LOWER_CASE}{DIGITS}_]{{2,}}"
+WORD_OR_SYMBOL = rf"[{LETTERS}{DIGITS}_]+|[^{LETTERS}{DIGITS}_ \t\n\x0b\x0c\r]"
 LANGUAGE_SEPARATOR = "| "
 KEYWORD_SEPARATOR = "|"
 SCORE_FIELD = r"Relevancy_score\s*=\s*([\d.]+)"
 REASONS_FIELD = r"Reasons\s*=\s*\[(.+)\]"
 
+# Everything in ASCII that separates words of a natural language.
+ASCII_NO_LETTERS = "".join(f"\\x{c:02x}" for c in range(128) if not chr(c).isalpha())
+
 # --- fixed values: most frequent function words per language ---------------
 LANGUAGE_WORDS = [
     ("en", ["the", "of", "and", "to", "is", "that", "it", "for", "was", "with"]),

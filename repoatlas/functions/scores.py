@@ -35,10 +35,50 @@ def squash(x) -> Column:
     return 1 / (1 + F.exp(-_column(x)))
 
 
+def bind(value, use) -> Column:
+    """``use(value)`` with ``value`` computed once.
+
+    Inside the function of an array operation a column expression would be
+    computed again for every element.
+    """
+    return F.get(F.transform(F.array(_column(value)), use), F.lit(0))
+
+
 def occurrences(tokens, token) -> Column:
     return F.size(F.filter(_column(tokens), lambda t: t == _column(token)))
 
 
+def kept_counts(tokens, wanted: list[str]) -> Column:
+    """``(term, n)`` for each of the ``wanted`` tokens that occurs.
+
+    Sorting puts equal tokens side by side, so a count is the distance between
+    the first places of two neighbours.
+    """
+
+    def count(hits, found, starts):
+        return F.transform(
+            found,
+            lambda term, i: F.struct(
+                term.alias("term"),
+                (
+                    F.coalesce(F.get(starts, i + 1), F.size(hits).cast("long") + 1)
+                    - F.get(starts, i)
+                ).cast("double").alias("n"),
+            ),
+        )
+
+    return bind(
+        F.sort_array(kept(tokens, wanted)),
+        lambda hits: bind(
+            F.array_distinct(hits),
+            lambda found: bind(
+                F.transform(found, lambda term: F.array_position(hits, term)),
+                lambda starts: count(hits, found, starts),
+            ),
+        ),
+    )
+
+
 def one_text_bm25(count) -> Column:
     """Squashed score of a word seen ``count`` times in a one-text corpus.
 
@@ -68,7 +108,7 @@ def squared_length(tokens) -> Column:
             (state["total"] + 2 * run + 1).alias("total"),
         )
 
-    return F.aggregate(F.array_sort(_column(tokens)), start, step, lambda s: s["total"])
+    return F.aggregate(F.sort_array(_column(tokens)), start, step, lambda s: s["total"])
 
 
 def keyword_table(keywords: list[str]) -> Column:
@@ -141,11 +181,13 @@ def relevance(bm25, tfidf) -> Column:
 def min_max(scores) -> Column:
     """Scores scaled to 0..1; all 1 where they are equal."""
     scores = _column(scores)
-    low, high = F.array_min(scores), F.array_max(scores)
-    return F.transform(
-        scores,
-        lambda s: F.when(high == low, F.lit(1.0)).otherwise((s - low) / (high - low)),
-    )
+    bounds = F.struct(F.array_min(scores).alias("low"), F.array_max(scores).alias("high"))
+
+    def scale(s, b):
+        span = b["high"] - b["low"]
+        return F.when(span == 0, F.lit(1.0)).otherwise((s - b["low"]) / span)
+
+    return bind(bounds, lambda b: F.transform(scores, lambda s: scale(s, b)))
 
 
 def category_bm25(text_words, categories: list[tuple[str, str]]) -> Column:
@@ -154,20 +196,23 @@ def category_bm25(text_words, categories: list[tuple[str, str]]) -> Column:
     A category word the text lacks counts 0.5, so the sum starts from half the
     number of words and only the words found change it.
     """
-    text_words = _column(text_words)
     counts = [Counter(text.split()) for _, text in categories]
     vocabulary = list(dict.fromkeys(w for c in counts for w in c))
-    start = F.array(*[F.lit(0.5 * sum(c.values())) for c in counts])
-    per_word = _literal_map({w: [float(c[w]) for c in counts] for w in vocabulary})
-    found = F.array_intersect(text_words, literal_strings(vocabulary))
-
-    def step(scores, word):
-        change = one_text_bm25(occurrences(text_words, word)) - 0.5
-        return F.zip_with(
-            scores, F.try_element_at(per_word, word), lambda s, n: s + n * change
+    start = _literals([0.5 * sum(c.values()) for c in counts])
+    per_word = _literal_map(
+        {w: _literals([float(c[w]) for c in counts]) for w in vocabulary}
+    )
+
+    def step(scores, found):
+        change = one_text_bm25(found["n"]) - 0.5
+        return bind(
+            change,
+            lambda c: F.zip_with(
+                scores, F.try_element_at(per_word, found["term"]), lambda s, n: s + n * c
+            ),
         )
 
-    return F.aggregate(found, start, step)
+    return F.aggregate(kept_counts(text_words, vocabulary), start, step)
 
 
 def category_cosine(text_terms, categories: list[tuple[str, str]]) -> Column:
@@ -176,7 +221,6 @@ def category_cosine(text_terms, categories: list[tuple[str, str]]) -> Column:
     The categories are the corpus: they give the vocabulary and the term
     frequencies; terms outside it do not count.
     """
-    text_terms = _column(text_terms)
     counts = [Counter(re.findall(TFIDF_TOKEN, text.lower())) for _, text in categories]
     vocabulary = list(dict.fromkeys(t for c in counts for t in c))
     idf = {
@@ -184,35 +228,35 @@ def category_cosine(text_terms, categories: list[tuple[str, str]]) -> Column:
         for t in vocabulary
     }
     norms = [math.sqrt(sum((n * idf[t]) ** 2 for t, n in c.items())) or 1.0 for c in counts]
-    # First the text's own weight of a term, then that of each category.
-    weights = _literal_map(
+    # A text's own weight of a term, and what the term adds to each dot product.
+    own = _literal_map({t: F.lit(idf[t]) for t in vocabulary})
+    shared = _literal_map(
         {
-            t: [idf[t]] + [c[t] * idf[t] * idf[t] / norm for c, norm in zip(counts, norms)]
+            t: _literals([c[t] * idf[t] ** 2 / norm for c, norm in zip(counts, norms)])
             for t in vocabulary
         }
     )
-    found = F.array_intersect(text_terms, literal_strings(vocabulary))
-    start = F.array(*[F.lit(0.0)] * (len(categories) + 1))
-
-    def step(sums, term):
-        n = occurrences(text_terms, term).cast("double")
-        known = F.try_element_at(weights, term)
-        own = F.get(known, F.lit(0)) * n
-        dots = F.zip_with(
-            F.slice(sums, 2, len(categories)),
-            F.slice(known, 2, len(categories)),
-            lambda s, w: s + n * w,
-        )
-        return F.concat(F.array(F.get(sums, F.lit(0)) + own * own), dots)
+    start = _literals([0.0] * len(categories))
 
-    def finish(sums):
-        length = F.sqrt(F.get(sums, F.lit(0)))
-        return F.transform(
-            F.slice(sums, 2, len(categories)),
-            lambda s: F.when(length == 0, F.lit(0.0)).otherwise(s / length),
+    def step(sums, found):
+        weights = F.try_element_at(shared, found["term"])
+        return F.zip_with(sums, weights, lambda s, w: s + w * found["n"])
+
+    def score(found):
+        squares = F.aggregate(
+            found,
+            F.lit(0.0),
+            lambda acc, f: acc + F.pow(F.try_element_at(own, f["term"]) * f["n"], F.lit(2)),
+        )
+        dots = F.aggregate(found, start, step)
+        return bind(
+            F.sqrt(squares),
+            lambda length: F.transform(
+                dots, lambda d: F.when(length == 0, F.lit(0.0)).otherwise(d / length)
+            ),
         )
 
-    return F.aggregate(found, start, step, finish)
+    return bind(kept_counts(text_terms, vocabulary), score)
 
 
 def hybrid(bm25_scores, cosine_scores) -> Column:
@@ -237,8 +281,9 @@ def best_category(scores, categories: list[tuple[str, str]]) -> Column:
     return F.try_element_at(names, position)
 
 
-def _literal_map(rows: dict[str, list[float]]) -> Column:
-    pairs = []
-    for key, values in rows.items():
-        pairs += [F.lit(key), F.array(*[F.lit(v) for v in values])]
-    return F.create_map(*pairs)
+def _literals(values: list[float]) -> Column:
+    return F.array(*[F.lit(v) for v in values])
+
+
+def _literal_map(entries: dict[str, Column]) -> Column:
+    return F.create_map(*[c for key, value in entries.items() for c in (F.lit(key), value)])

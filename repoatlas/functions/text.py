@@ -5,11 +5,14 @@ from pyspark.sql import functions as F
 
 from repoatlas.fixed_values import (
     CODE_FENCE,
+    LETTERS,
     MAX_MODEL_CHARS,
     MISSING_README,
     NOT_PLAIN_ENGLISH,
-    SPACE_CLASS,
+    SPACES,
     TFIDF_TOKEN,
+    WIDE_SPACES,
+    WORD_OR_SYMBOL,
 )
 
 
@@ -17,9 +20,18 @@ def _column(value) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def narrow_spaces(text) -> Column:
+    """White space beyond Latin-1 as blanks; most texts pass untouched."""
+    text = _column(text)
+    narrowed = text
+    for space in WIDE_SPACES:
+        narrowed = F.replace(narrowed, F.lit(space), F.lit(" "))
+    return F.when(text.rlike(r"[^\x00-\xff]"), narrowed).otherwise(text)
+
+
 def collapse_spaces(text) -> Column:
     """Every run of white space as one blank, none at either end."""
-    return F.trim(F.regexp_replace(_column(text), f"[{SPACE_CLASS}]+", " "))
+    return F.trim(F.regexp_replace(narrow_spaces(text), f"[{SPACES}]+", " "))
 
 
 def clean_text(text) -> Column:
@@ -29,14 +41,18 @@ def clean_text(text) -> Column:
     both. The symbols removed last leave blanks behind; a second pass
     (:func:`clean_readme`) collapses those.
     """
-    flat = F.trim(F.regexp_replace(_column(text), f"[{SPACE_CLASS},]+", " "))
+    flat = F.trim(F.regexp_replace(narrow_spaces(text), f"[{SPACES},]+", " "))
     unfenced = F.regexp_replace(flat, CODE_FENCE, " ")
     return F.regexp_replace(unfenced, NOT_PLAIN_ENGLISH, " ")
 
 
 def clean_readme(text) -> Column:
-    """Lower-cased text, cleaned twice."""
-    return clean_text(clean_text(F.lower(_column(text))))
+    """Lower-cased text, cleaned twice.
+
+    After the first pass no fence and no foreign symbol is left, so all the
+    second one can still do is collapse the blanks.
+    """
+    return F.trim(F.regexp_replace(clean_text(F.lower(_column(text))), "  +", " "))
 
 
 def decode_readme(content) -> Column:
@@ -66,10 +82,10 @@ def cut_and_capitalize(summary) -> Column:
 
 def normalize_label(label) -> Column:
     """A model's label without outer symbols, inner symbols set apart."""
-    inner = F.regexp_replace(_column(label), r"^[^a-zA-Z]+", "")
-    inner = F.regexp_replace(inner, r"[^a-zA-Z]+$", "")
-    inner = F.regexp_replace(inner, f"([^a-zA-Z{SPACE_CLASS}])", " $1 ")
-    return F.regexp_replace(inner, f"[{SPACE_CLASS}]+", " ")
+    inner = F.regexp_replace(narrow_spaces(label), f"^[^{LETTERS}]+", "")
+    inner = F.regexp_replace(inner, f"[^{LETTERS}]+$", "")
+    inner = F.regexp_replace(inner, f"([^{LETTERS}{SPACES}])", " $1 ")
+    return F.regexp_replace(inner, f"[{SPACES}]+", " ")
 
 
 def lead_sentences(text, count: int = 3) -> Column:
@@ -80,13 +96,13 @@ def lead_sentences(text, count: int = 3) -> Column:
 
 def normalize_text(text) -> Column:
     """Words and single symbols, one blank between them."""
-    tokens = F.regexp_extract_all(_column(text), F.lit(r"\w+|[^\w\s]"), 0)
+    tokens = F.regexp_extract_all(_column(text), F.lit(WORD_OR_SYMBOL), 0)
     return F.array_join(tokens, " ")
 
 
-def words(text) -> Column:
-    """Tokens between white space; no empty ones."""
-    return F.regexp_extract_all(_column(text), F.lit(f"[^{SPACE_CLASS}]+"), 0)
+def words(cleaned) -> Column:
+    """Words of a text whose white space is collapsed; no empty ones."""
+    return F.array_remove(F.split(_column(cleaned), " "), "")
 
 
 def terms(text) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from repoatlas.fixed_values import CATEGORIES
 from repoatlas.functions import scores as S
-from repoatlas.functions.text import lead_sentences, terms, words
+from repoatlas.functions.text import collapse_spaces, lead_sentences, terms, words
 
 Categories = list[tuple[str, str]]
 
@@ -19,7 +19,7 @@ def category_scores(
 
     The categories travel with the plan, so a document is scored where it is.
     """
-    tokens = docs.withColumns({"_words": words(text), "_terms": terms(text)})
+    tokens = docs.withColumns({"_words": words(collapse_spaces(text)), "_terms": terms(text)})
     return tokens.withColumns(
         {
             "bm25_scores": S.rounded(S.category_bm25("_words", categories)),

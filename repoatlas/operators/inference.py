@@ -10,13 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from repoatlas.fixed_values import SPACE_CLASS
+from repoatlas.fixed_values import SPACES, WIDE_SPACES
 from repoatlas.functions.text import terms
 
-# Python writes a character by \u where Spark's patterns have \x{...}.
-_SPACES = re.compile(
-    "[" + re.sub(r"\\x\{(\w+)\}", lambda m: f"\\u{int(m[1], 16):04x}", SPACE_CLASS) + "]+"
-)
+_SPACES = re.compile(f"[{SPACES}{WIDE_SPACES}]+")
 
 
 def infer(

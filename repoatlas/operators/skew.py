@@ -5,21 +5,33 @@ from pyspark.sql import functions as F
 
 from repoatlas.session import cut_lineage
 
+# A lookup of no more rows than this is sent to every task.
+MAX_BROADCAST_ROWS = 10_000
 # At most this many keys can each hold more than 1/MAX_HOT_KEYS of all rows.
 MAX_HOT_KEYS = 1000
 
 
 def lookup_join(
-    facts: DataFrame, lookup: DataFrame, key: str, weight: str, spread_by: str
+    facts: DataFrame,
+    lookup: DataFrame,
+    key: str,
+    weight: str,
+    spread_by: str,
+    max_broadcast_rows: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """``facts`` with the columns of ``lookup``, which has one row per ``key``.
 
-    ``weight`` is the lookup's count of fact rows per key. A key that holds more
-    than a thousandth of all rows is hot, and there can be no more than a
-    thousand of those, so they are safe to broadcast. Rows of all other keys
-    meet their lookup row by a shuffled join; in it the hot rows are scattered
-    by ``spread_by``, a column with many values.
+    The lookup is computed once and counted; a small one is broadcast. Beyond
+    that ``weight``, its count of fact rows per key, tells the hot keys: those
+    that hold more than a thousandth of all rows, so no more than a thousand
+    can be hot and only they are broadcast. Rows of all other keys meet their
+    lookup row by a shuffled join; in it the hot rows are scattered by
+    ``spread_by``, a column with many values.
     """
+    lookup = cut_lineage(lookup)
+    if lookup.count() <= max_broadcast_rows:
+        own = [c for c in lookup.columns if c != key]
+        return facts.join(F.broadcast(lookup), key, "left").select(*facts.columns, *own)
     total = lookup.agg(F.sum(weight)).scalar()
     is_hot = F.col(weight) * MAX_HOT_KEYS > total
     values = [c for c in lookup.columns if c != key]

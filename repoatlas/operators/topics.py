@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from repoatlas.fixed_values import LANGUAGE_WORDS
+from repoatlas.fixed_values import ASCII_NO_LETTERS, LANGUAGE_WORDS
 from repoatlas.functions import scores as S
 from repoatlas.functions.text import _column, terms
 from repoatlas.operators.skew import lookup_join
@@ -15,14 +15,20 @@ def extract_topics(
     """Per document its ``n`` strongest terms, in order of first appearance.
 
     Strength is the term's count times its inverse document frequency in the
-    whole corpus. Term counts are taken once per document and shared by the
-    frequency count and the weighting.
+    whole corpus. Texts that come hashed by ``doc_id`` (see ``spread``) are
+    counted without a further shuffle.
     """
-    placed = docs.select(doc_id, F.posexplode(terms(text)).alias("pos", "term"))
-    counted = placed.groupBy(doc_id, "term").agg(
-        F.count("*").alias("tf"), F.min("pos").alias("first_pos")
+    split = docs.select(doc_id, terms(text).alias("terms"))
+    frequencies = (
+        split.select(F.explode(F.array_distinct("terms")).alias("term"))
+        .groupBy("term")
+        .agg(F.count("*").alias("df"))
+    )
+    counted = (
+        split.select(doc_id, F.posexplode("terms").alias("pos", "term"))
+        .groupBy(doc_id, "term")
+        .agg(F.count("*").alias("tf"), F.min("pos").alias("first_pos"))
     )
-    frequencies = counted.groupBy("term").agg(F.count("*").alias("df"))
     corpus_size = docs.agg(F.count("*")).scalar()
     weight = F.col("tf") * (F.log((1 + F.col("corpus")) / (1 + F.col("df"))) + 1)
     weighted = (
@@ -43,12 +49,14 @@ def extract_topics(
 
 def language_scores(text) -> Column:
     """Per language of the profile, how many of its words the text has."""
-    tokens = F.regexp_extract_all(F.lower(_column(text)), F.lit(r"[\p{L}]+"), 0)
+    tokens = F.split(F.lower(_column(text)), f"[{ASCII_NO_LETTERS}]+")
     everyday = [w for _, listed in LANGUAGE_WORDS for w in listed]
-    return F.transform(
-        F.array(*[S.literal_strings(listed) for _, listed in LANGUAGE_WORDS]),
-        lambda listed: F.size(
-            F.filter(S.kept(tokens, everyday), lambda t: F.array_contains(listed, t))
+    languages = F.array(*[S.literal_strings(listed) for _, listed in LANGUAGE_WORDS])
+    return S.bind(
+        S.kept(tokens, everyday),
+        lambda hits: F.transform(
+            languages,
+            lambda listed: F.size(F.filter(hits, lambda t: F.array_contains(listed, t))),
         ),
     )
 

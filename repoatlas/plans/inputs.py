@@ -3,7 +3,6 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repoatlas.fixed_values import SPACE_CLASS
 from repoatlas.functions.text import clean_readme, lead_sentences
 from repoatlas.session import spread
 
@@ -25,13 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def texts(spark: SparkSession, sf_dir: str, hashed: bool = False) -> DataFrame:
     """Documents spread over all cores, for the work on their texts."""
-    return spread(table(spark, sf_dir, "documents"), "doc_id")
+    return spread(table(spark, sf_dir, "documents"), "doc_id", hashed)
 
 
-def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return texts(spark, sf_dir).select("doc_id", clean_readme("text").alias("readme"))
+def cleaned(spark: SparkSession, sf_dir: str, hashed: bool = False) -> DataFrame:
+    return texts(spark, sf_dir, hashed).select("doc_id", clean_readme("text").alias("readme"))
 
 
 def catalog(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
@@ -101,6 +100,11 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- the same inputs in SQL -------------------------------------------------
 
+SPACE_CLASS = (
+    r"\t\n\x0b\x0c\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+)
+
 
 def sql_clean(text: str) -> str:
     flat = f"trim(regexp_replace({text}, '[{SPACE_CLASS},]+', ' ', 'g'))"

@@ -27,7 +27,7 @@ def _per_document(name: str, column, sql: str) -> None:
         return I.texts(spark, sf_dir).select("doc_id", column("text").alias(name))
 
 
-_SPACES = f"[{X.SPACE_CLASS}]+"
+_SPACES = f"[{I.SPACE_CLASS}]+"
 _per_document("clean_text", X.clean_text, I.sql_clean("text"))
 _per_document("clean_readme", X.clean_readme, I.sql_clean_readme("text"))
 _per_document("brief_desc", X.lead_sentences, I.sql_lead("text"))
@@ -51,7 +51,7 @@ _per_document(
     X.normalize_label,
     "regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, "
     "'^[^a-zA-Z]+', ''), '[^a-zA-Z]+$', ''), "
-    f"'([^a-zA-Z{X.SPACE_CLASS}])', ' \\1 ', 'g'), '{_SPACES}', ' ', 'g')",
+    f"'([^a-zA-Z{I.SPACE_CLASS}])', ' \\1 ', 'g'), '{_SPACES}', ' ', 'g')",
 )
 
 
@@ -206,7 +206,7 @@ def build_prompts(spark, sf_dir):
         FROM ranked WHERE rank <= 10 GROUP BY doc_id""",
 )
 def topics(spark, sf_dir):
-    return extract_topics(I.cleaned(spark, sf_dir), 10, "doc_id", "readme")
+    return extract_topics(I.cleaned(spark, sf_dir, hashed=True), 10, "doc_id", "readme")
 
 
 def _sql_language(text: str) -> str:
@@ -217,7 +217,7 @@ def _sql_language(text: str) -> str:
     counts = ", ".join(count(listed) for _, listed in LANGUAGE_WORDS)
     codes = ", ".join(f"'{code}'" for code, _ in LANGUAGE_WORDS)
     return (
-        f"tokens AS (SELECT doc_id, lang, regexp_extract_all(lower({text}), '[\\p{{L}}]+') AS tokens"
+        f"tokens AS (SELECT doc_id, lang, regexp_extract_all(lower({text}), '[a-z\\x{{80}}-\\x{{10ffff}}]+') AS tokens"
         f" FROM documents), counts AS (SELECT doc_id, lang, [{counts}] AS n FROM tokens),"
         f" detected AS (SELECT doc_id, lang, CASE WHEN list_max(n) > 0"
         f" THEN [{codes}][list_position(n, list_max(n))] END AS language_id FROM counts)"
