@@ -20,7 +20,8 @@ def keyword_match(docs: DataFrame, keywords: list[str], text: str = "readme") ->
     )
     found = F.filter(table, lambda k: F.contains(F.col(text), k["keyword"]))
     kept = [c for c in docs.columns if c != text]
-    return docs.select(*kept, F.inline(found))
+    # The outer variant spares a second look at the text (for an empty array).
+    return docs.select(*kept, F.inline_outer(found)).filter("ord IS NOT NULL")
 
 
 def keyword_scores(

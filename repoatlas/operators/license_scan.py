@@ -14,7 +14,7 @@ from repoatlas.functions.licenses import (
 def license_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Every line that speaks of a license, cut to start at its name."""
     speaking = docs.filter(F.col(text).rlike(r"(?i)licen[cs]e|(?:released|distributed|available) under"))
-    lines = speaking.select(doc_id, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    lines = speaking.select(doc_id, F.posexplode_outer(F.split(text, "\n")).alias("line_no", "line"))
     named = lines.withColumn("candidate", license_candidate("line"))
     return named.filter(F.col("candidate").isNotNull())
 
@@ -44,7 +44,10 @@ def license_rule_audit(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         matching_rules("candidate").alias("rules")
     )
     counted = (
-        matches.select(F.explode("rules").alias("ord"), F.get("rules", F.lit(0)).alias("first"))
+        matches.select(
+            F.explode_outer("rules").alias("ord"), F.get("rules", F.lit(0)).alias("first")
+        )
+        .filter("ord IS NOT NULL")
         .groupBy("ord")
         .agg(
             F.count("*").alias("lines_matched"),

@@ -49,7 +49,10 @@ def prototype_similarity(
     vectors: DataFrame, prototypes: DataFrame, row_id: str = "vec_id",
     label: str = "label", vector: str = "embedding",
 ) -> DataFrame:
-    """Every vector's cosine with the prototype of its own label."""
+    """Every vector's cosine with the prototype of its own label.
+
+    Pass prototypes that are computed already; they are read several times.
+    """
     joined = lookup_join(vectors, prototypes, label, "members", row_id)
     return joined.withColumn("cosine", cosine(vector, "centroid"))
 

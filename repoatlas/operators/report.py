@@ -18,6 +18,7 @@ from repoatlas.functions.text import anchor, repo_name
 from repoatlas.operators.catalog import exclude_urls, relevance_cutoff
 from repoatlas.operators.dedupe import dedupe_first
 from repoatlas.operators.skew import lookup_join
+from repoatlas.session import cut_lineage
 
 REPORT_ORDER = ["block", "section_seq", "seq"]
 DEFAULT_INTRO = "A curated list of GitHub repositories related to various categories."
@@ -38,9 +39,19 @@ def report_toc(catalog: DataFrame, group: str = "class_label") -> DataFrame:
 
 def report_sections(catalog: DataFrame, line: Column, group: str = "class_label") -> DataFrame:
     """Every entry's line with its section's place in the report."""
-    entries = catalog.select(group, "seq", line.alias("line"))
-    sections = report_toc(catalog, group).select(group, "section_seq", "entries")
-    return lookup_join(entries, sections, group, "entries", "seq").drop("entries")
+    return _sectioned(catalog, line, group)[1]
+
+
+def _sectioned(catalog: DataFrame, line: Column, group: str) -> tuple[DataFrame, DataFrame]:
+    """Sections, and entries with their section's place.
+
+    The entry lines are made once; contents, headings and entries read them.
+    """
+    entries = cut_lineage(catalog.select(group, "seq", line.alias("line")))
+    sections = cut_lineage(report_toc(entries, group))
+    lookup = sections.select(group, "section_seq", "entries")
+    placed = lookup_join(entries, lookup, group, "entries", "seq").drop("entries")
+    return sections, placed
 
 
 def _rows(rows: DataFrame, block: int, section_seq, seq, line) -> DataFrame:
@@ -97,10 +108,9 @@ def report_db(
     listed = relevance_cutoff(exclude_urls(catalog, ignored), cutoff).withColumn(
         "class_label", F.coalesce("class_label", F.lit("None"))
     )
-    sections = report_toc(listed)
+    sections, entries = _sectioned(listed, catalog_entry(component_label), "class_label")
     label, place = F.col("class_label"), F.col("section_seq")
     contents = F.concat(F.lit("- ["), label, F.lit("](#"), F.col("anchor"), F.lit(")"))
-    entries = report_sections(listed, catalog_entry(component_label))
     parts = [
         _fixed_rows(catalog, _HEAD, [title + "\n", intro + "\n"], 0, 0),
         _fixed_rows(catalog, _CONTENTS, [REPORT_CONTENTS_TITLE + "\n"], -1, -1),
@@ -121,9 +131,8 @@ def report_csv(
 ) -> DataFrame:
     """The report of the legacy result rows (with ``seq``), first per URL."""
     listed = dedupe_first(rows, "repo_url")
-    sections = report_toc(listed, "topic")
+    sections, entries = _sectioned(listed, csv_entry(component_label), "topic")
     place = F.col("section_seq")
-    entries = report_sections(listed, csv_entry(component_label), "topic")
     # Entries end in a blank of their own that opens the next line.
     opened = F.when(F.col("seq") == place, F.col("line")).otherwise(
         F.concat(F.lit(" "), F.col("line"))

@@ -21,14 +21,14 @@ def lookup_join(
 ) -> DataFrame:
     """``facts`` with the columns of ``lookup``, which has one row per ``key``.
 
-    The lookup is computed once and counted; a small one is broadcast. Beyond
-    that ``weight``, its count of fact rows per key, tells the hot keys: those
-    that hold more than a thousandth of all rows, so no more than a thousand
-    can be hot and only they are broadcast. Rows of all other keys meet their
-    lookup row by a shuffled join; in it the hot rows are scattered by
-    ``spread_by``, a column with many values.
+    The lookup is read several times, so pass one that is computed already (see
+    ``cut_lineage``). It is counted, and a small one is broadcast. Beyond that
+    ``weight``, its count of fact rows per key, tells the hot keys: those that
+    hold more than a thousandth of all rows, so no more than a thousand can be
+    hot and only they are broadcast. Rows of all other keys meet their lookup
+    row by a shuffled join; in it the hot rows are scattered by ``spread_by``,
+    a column with many values.
     """
-    lookup = cut_lineage(lookup)
     if lookup.count() <= max_broadcast_rows:
         own = [c for c in lookup.columns if c != key]
         return facts.join(F.broadcast(lookup), key, "left").select(*facts.columns, *own)
@@ -75,8 +75,10 @@ def number_rows(rows: DataFrame, order: list, group: str | None = None) -> DataF
     )
     numbered = placed.join(offsets, "task").withColumn("position", F.col("offset") + in_task)
     if group:
-        firsts = numbered.groupBy(group).agg(
-            F.min("position").alias("first_position"), F.count("*").alias("group_rows")
+        firsts = cut_lineage(
+            numbered.groupBy(group).agg(
+                F.min("position").alias("first_position"), F.count("*").alias("group_rows")
+            )
         )
         numbered = lookup_join(numbered, firsts, group, "group_rows", "place").withColumn(
             "position", F.col("position") - F.col("first_position")

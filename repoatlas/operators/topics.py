@@ -7,6 +7,7 @@ from repoatlas.fixed_values import ASCII_NO_LETTERS, LANGUAGE_WORDS
 from repoatlas.functions import scores as S
 from repoatlas.functions.text import _column, terms
 from repoatlas.operators.skew import lookup_join
+from repoatlas.session import cut_lineage
 
 
 def extract_topics(
@@ -18,14 +19,18 @@ def extract_topics(
     whole corpus. Texts that come hashed by ``doc_id`` (see ``spread``) are
     counted without a further shuffle.
     """
+    # The outer variants of explode keep Spark from testing the array's size in
+    # a filter of its own, which would clean and split every text once more.
     split = docs.select(doc_id, terms(text).alias("terms"))
-    frequencies = (
-        split.select(F.explode(F.array_distinct("terms")).alias("term"))
+    frequencies = cut_lineage(
+        split.select(F.explode_outer(F.array_distinct("terms")).alias("term"))
+        .filter("term IS NOT NULL")
         .groupBy("term")
         .agg(F.count("*").alias("df"))
     )
     counted = (
-        split.select(doc_id, F.posexplode("terms").alias("pos", "term"))
+        split.select(doc_id, F.posexplode_outer("terms").alias("pos", "term"))
+        .filter("term IS NOT NULL")
         .groupBy(doc_id, "term")
         .agg(F.count("*").alias("tf"), F.min("pos").alias("first_pos"))
     )

@@ -11,6 +11,7 @@ from repoatlas.operators import keywords as W
 from repoatlas.operators import neighbors as N
 from repoatlas.plans import inputs as I
 from repoatlas.plans.registry import query
+from repoatlas.session import cut_lineage
 
 _IDF1 = 0.25 * math.log(0.5 / 1.5)
 _U = math.log(1.5) + 1
@@ -241,7 +242,8 @@ def label_centroids(spark, sf_dir):
 )
 def cosine_pairs(spark, sf_dir):
     vectors = _vectors(spark, sf_dir)
-    similar = N.prototype_similarity(vectors, N.label_centroids(vectors))
+    prototypes = cut_lineage(N.label_centroids(vectors))
+    similar = N.prototype_similarity(vectors, prototypes)
     return similar.select("vec_id", "label", F.round("cosine", 6).alias("cosine"))
 
 
