@@ -134,11 +134,11 @@ def _match_blocks(
     buckets = -(-max(data.count(), 1) // ROWS_PER_BLOCK)
     left = data.filter(F.col("vector").isNotNull()).select(
         F.pmod(F.xxhash64("row_id"), F.lit(buckets)).alias("bucket"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block"),
+        F.explode(_numbers(blocks)).alias("block"),
         "row_id", "vector",
     )
     right = other.select(
-        F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).cast("long").alias("bucket"),
+        F.explode(_numbers(buckets)).alias("bucket"),
         F.pmod(F.xxhash64("other_id"), F.lit(blocks)).alias("block"),
         "other_id", "vector",
     )
@@ -164,6 +164,10 @@ def _match_blocks(
     )
 
 
+def _numbers(count: int):
+    return F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))
+
+
 def _sorted_side(side: pd.DataFrame):
     """Ids in order and their vectors at length one, as a matrix."""
     side = side.sort_values("other_id", ignore_index=True)

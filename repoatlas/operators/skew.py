@@ -67,13 +67,13 @@ def number_rows(rows: DataFrame, order: list, group: str | None = None) -> DataF
     task = F.shiftright("place", 33)
     in_task = F.col("place").bitwiseAND((1 << 33) - 1)
     placed = placed.withColumn("task", task)
-    # One row per task from here to the join.
+    # One row per sorting task, so few enough to send to every task.
     counts = placed.groupBy("task").agg(F.count("*").alias("n"))
     before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
         "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")
     )
-    numbered = placed.join(offsets, "task").withColumn("position", F.col("offset") + in_task)
+    numbered = placed.join(F.broadcast(offsets), "task").withColumn("position", F.col("offset") + in_task)
     if group:
         firsts = cut_lineage(
             numbered.groupBy(group).agg(
