@@ -20,6 +20,15 @@ from repoatlas.fixed_values import (
     RELEVANCE_TFIDF_WEIGHT,
     TFIDF_TOKEN,
 )
+from repoatlas.functions.arrays import (
+    bind,
+    kept,
+    literal_doubles,
+    literal_map,
+    literal_strings,
+    occurrences,
+    token_counts,
+)
 from repoatlas.functions.text import _column
 
 # Smoothed inverse frequency of a term that one of two texts holds; a term of
@@ -35,50 +44,6 @@ def squash(x) -> Column:
     return 1 / (1 + F.exp(-_column(x)))
 
 
-def bind(value, use) -> Column:
-    """``use(value)`` with ``value`` computed once.
-
-    Inside the function of an array operation a column expression would be
-    computed again for every element.
-    """
-    return F.get(F.transform(F.array(_column(value)), use), F.lit(0))
-
-
-def occurrences(tokens, token) -> Column:
-    return F.size(F.filter(_column(tokens), lambda t: t == _column(token)))
-
-
-def kept_counts(tokens, wanted: list[str]) -> Column:
-    """``(term, n)`` for each of the ``wanted`` tokens that occurs.
-
-    Sorting puts equal tokens side by side, so a count is the distance between
-    the first places of two neighbours.
-    """
-
-    def count(hits, found, starts):
-        return F.transform(
-            found,
-            lambda term, i: F.struct(
-                term.alias("term"),
-                (
-                    F.coalesce(F.get(starts, i + 1), F.size(hits).cast("long") + 1)
-                    - F.get(starts, i)
-                ).cast("double").alias("n"),
-            ),
-        )
-
-    return bind(
-        F.sort_array(kept(tokens, wanted)),
-        lambda hits: bind(
-            F.array_distinct(hits),
-            lambda found: bind(
-                F.transform(found, lambda term: F.array_position(hits, term)),
-                lambda starts: count(hits, found, starts),
-            ),
-        ),
-    )
-
-
 def one_text_bm25(count) -> Column:
     """Squashed score of a word seen ``count`` times in a one-text corpus.
 
@@ -89,27 +54,11 @@ def one_text_bm25(count) -> Column:
 
 
 def squared_length(tokens) -> Column:
-    """The sum of squared term counts of a token array.
-
-    The sorted tokens put equal terms side by side. A run that grows from r to
-    r + 1 adds 2r + 1 to its square.
-    """
-    start = F.struct(
-        F.lit("").alias("term"),
-        F.lit(0).cast("long").alias("run"),
-        F.lit(0).cast("long").alias("total"),
+    """The sum of squared term counts of a token array."""
+    return F.aggregate(
+        token_counts(tokens), F.lit(0.0), lambda acc, c: acc + c["n"] * c["n"]
     )
 
-    def step(state, term):
-        run = F.when(state["term"] == term, state["run"]).otherwise(F.lit(0).cast("long"))
-        return F.struct(
-            term.alias("term"),
-            (run + 1).alias("run"),
-            (state["total"] + 2 * run + 1).alias("total"),
-        )
-
-    return F.aggregate(F.sort_array(_column(tokens)), start, step, lambda s: s["total"])
-
 
 def keyword_table(keywords: list[str]) -> Column:
     """Keywords as a literal array of ``(ord, keyword, terms)``."""
@@ -134,17 +83,6 @@ def keyword_terms(keywords: list[str]) -> list[str]:
     return list(dict.fromkeys(t for k in keywords for t in re.findall(TFIDF_TOKEN, k.lower())))
 
 
-def literal_strings(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
-
-
-def kept(tokens, wanted: list[str]) -> Column:
-    """The tokens that are among ``wanted``, repeats included."""
-    return F.filter(
-        _column(tokens), lambda t: F.array_contains(literal_strings(wanted), t)
-    )
-
-
 def two_text_tfidf(term_hits, length2, keyword_term_counts) -> Column:
     """Cosine of a text and a keyword as the two texts of one corpus.
 
@@ -198,9 +136,9 @@ def category_bm25(text_words, categories: list[tuple[str, str]]) -> Column:
     """
     counts = [Counter(text.split()) for _, text in categories]
     vocabulary = list(dict.fromkeys(w for c in counts for w in c))
-    start = _literals([0.5 * sum(c.values()) for c in counts])
-    per_word = _literal_map(
-        {w: _literals([float(c[w]) for c in counts]) for w in vocabulary}
+    start = literal_doubles([0.5 * sum(c.values()) for c in counts])
+    per_word = literal_map(
+        {w: literal_doubles([float(c[w]) for c in counts]) for w in vocabulary}
     )
 
     def step(scores, found):
@@ -212,7 +150,7 @@ def category_bm25(text_words, categories: list[tuple[str, str]]) -> Column:
             ),
         )
 
-    return F.aggregate(kept_counts(text_words, vocabulary), start, step)
+    return F.aggregate(token_counts(kept(text_words, vocabulary)), start, step)
 
 
 def category_cosine(text_terms, categories: list[tuple[str, str]]) -> Column:
@@ -229,14 +167,14 @@ def category_cosine(text_terms, categories: list[tuple[str, str]]) -> Column:
     }
     norms = [math.sqrt(sum((n * idf[t]) ** 2 for t, n in c.items())) or 1.0 for c in counts]
     # A text's own weight of a term, and what the term adds to each dot product.
-    own = _literal_map({t: F.lit(idf[t]) for t in vocabulary})
-    shared = _literal_map(
+    own = literal_map({t: F.lit(idf[t]) for t in vocabulary})
+    shared = literal_map(
         {
-            t: _literals([c[t] * idf[t] ** 2 / norm for c, norm in zip(counts, norms)])
+            t: literal_doubles([c[t] * idf[t] ** 2 / norm for c, norm in zip(counts, norms)])
             for t in vocabulary
         }
     )
-    start = _literals([0.0] * len(categories))
+    start = literal_doubles([0.0] * len(categories))
 
     def step(sums, found):
         weights = F.try_element_at(shared, found["term"])
@@ -256,7 +194,7 @@ def category_cosine(text_terms, categories: list[tuple[str, str]]) -> Column:
             ),
         )
 
-    return bind(kept_counts(text_terms, vocabulary), score)
+    return bind(token_counts(kept(text_terms, vocabulary)), score)
 
 
 def hybrid(bm25_scores, cosine_scores) -> Column:
@@ -279,11 +217,3 @@ def best_category(scores, categories: list[tuple[str, str]]) -> Column:
     names = literal_strings([name for name, _ in categories])
     position = F.array_position(scores, F.array_max(scores)).cast("int")
     return F.try_element_at(names, position)
-
-
-def _literals(values: list[float]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
-
-
-def _literal_map(entries: dict[str, Column]) -> Column:
-    return F.create_map(*[c for key, value in entries.items() for c in (F.lit(key), value)])

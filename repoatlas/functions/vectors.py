@@ -3,6 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from repoatlas.functions.arrays import bind
 from repoatlas.functions.text import _column
 
 
@@ -26,8 +27,13 @@ def norm(vector) -> Column:
 
 def l2_normalize(vector) -> Column:
     """``vector`` at length one; a zero vector stays as it is."""
-    values, length = as_double(vector), norm(vector)
-    return F.when(length == 0, values).otherwise(F.transform(values, lambda x: x / length))
+    values = as_double(vector)
+    return bind(
+        norm(vector),
+        lambda length: F.when(length == 0, values).otherwise(
+            F.transform(values, lambda x: x / length)
+        ),
+    )
 
 
 def cosine(a, b) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from repoatlas.fixed_values import CATEGORIES
 from repoatlas.functions import scores as S
+from repoatlas.functions.arrays import literal_strings
 from repoatlas.functions.text import collapse_spaces, lead_sentences, terms, words
 
 Categories = list[tuple[str, str]]
@@ -51,7 +52,7 @@ def classify_text(
 
 def scores_by_category(scored: DataFrame, categories: Categories, **arrays: str) -> DataFrame:
     """One row per document and category from score arrays, by output name."""
-    names = S.literal_strings([name for name, _ in categories])
+    names = literal_strings([name for name, _ in categories])
     kept = [c for c in scored.columns if c not in arrays.values()]
     rows = scored.select(
         *kept, *set(arrays.values()), F.posexplode(names).alias("ord", "category")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from repoatlas.fixed_values import BM25_B, BM25_K1, RELEVANCE_THRESHOLD
 from repoatlas.functions import scores as S
+from repoatlas.functions.arrays import kept, literal_strings, occurrences
 from repoatlas.functions.text import clean_readme, terms, words
 from repoatlas.session import cut_lineage
 
@@ -44,14 +45,14 @@ def keyword_scores(
     ).select(
         doc_id,
         F.size("words").alias("n_words"),
-        S.kept("words", keywords).alias("word_hits"),
-        S.kept("terms", S.keyword_terms(keywords)).alias("term_hits"),
+        kept("words", keywords).alias("word_hits"),
+        kept("terms", S.keyword_terms(keywords)).alias("term_hits"),
         S.squared_length("terms").alias("length2"),
     )
     pairs = counted.select("*", F.inline(S.keyword_table(keywords))).withColumnRenamed(
         "terms", "keyword_terms"
     )
-    count = S.occurrences("word_hits", "keyword")
+    count = occurrences("word_hits", "keyword")
     return pairs.select(
         doc_id,
         "ord",
@@ -84,7 +85,7 @@ def bm25_rank(
         tokens.select(
             doc_id,
             F.size("words").alias("n_words"),
-            S.kept("words", keywords).alias("hits"),
+            kept("words", keywords).alias("hits"),
         )
     )
     hits = counted.filter(F.size("hits") > 0)
@@ -100,7 +101,7 @@ def bm25_rank(
     corpus = counted.agg(F.struct(F.count("*").alias("n"), F.avg("n_words").alias("avg"))).scalar()
     pairs = (
         hits.select("*", F.inline(S.keyword_table(keywords)))
-        .withColumn("tf", S.occurrences("hits", "keyword"))
+        .withColumn("tf", occurrences("hits", "keyword"))
         .filter("tf > 0")
         .withColumn("df", F.try_element_at(by_keyword, F.col("keyword")))
         .withColumn("corpus", corpus)
@@ -137,4 +138,4 @@ def resume_pages(
 
 def _cleaned(docs: DataFrame, keywords: list[str]) -> list[str]:
     one = docs.sparkSession.range(1)
-    return one.select(F.transform(S.literal_strings(keywords), clean_readme)).first()[0]
+    return one.select(F.transform(literal_strings(keywords), clean_readme)).first()[0]

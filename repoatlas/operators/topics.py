@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repoatlas.fixed_values import ASCII_NO_LETTERS, LANGUAGE_WORDS
-from repoatlas.functions import scores as S
+from repoatlas.functions.arrays import bind, kept, literal_strings
 from repoatlas.functions.text import _column, terms
 from repoatlas.operators.skew import lookup_join
 from repoatlas.session import cut_lineage
@@ -56,9 +56,9 @@ def language_scores(text) -> Column:
     """Per language of the profile, how many of its words the text has."""
     tokens = F.split(F.lower(_column(text)), f"[{ASCII_NO_LETTERS}]+")
     everyday = [w for _, listed in LANGUAGE_WORDS for w in listed]
-    languages = F.array(*[S.literal_strings(listed) for _, listed in LANGUAGE_WORDS])
-    return S.bind(
-        S.kept(tokens, everyday),
+    languages = F.array(*[literal_strings(listed) for _, listed in LANGUAGE_WORDS])
+    return bind(
+        kept(tokens, everyday),
         lambda hits: F.transform(
             languages,
             lambda listed: F.size(F.filter(hits, lambda t: F.array_contains(listed, t))),
@@ -71,7 +71,7 @@ def detect_language(docs: DataFrame, text: str = "text") -> DataFrame:
 
     A text with no such word gets null.
     """
-    codes = S.literal_strings([code for code, _ in LANGUAGE_WORDS])
+    codes = literal_strings([code for code, _ in LANGUAGE_WORDS])
     counts = F.col("language_scores")
     best = F.array_max(counts)
     code = F.try_element_at(codes, F.array_position(counts, best).cast("int"))

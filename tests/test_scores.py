@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from repoatlas.functions import arrays as A
 from repoatlas.functions import scores as S
 from repoatlas.functions.text import terms, words
 from repoatlas.operators import classify as K
@@ -65,7 +66,7 @@ def test_squared_length_and_counts(values):
     got = values(
         rows, "t string",
         S.squared_length(words("t")),
-        F.transform(S.kept_counts(words("t"), ["b", "a", "z"]), lambda c: F.concat(c["term"], c["n"].cast("string"))),
+        F.transform(A.token_counts(A.kept(words("t"), ["b", "a", "z"])), lambda c: F.concat(c["term"], c["n"].cast("string"))),
     )
     assert got == [(9 + 4 + 1, ["a3.0", "b2.0"]), (0, [])]
 
