@@ -59,8 +59,9 @@ def spread(df: DataFrame, key: str, hashed: bool = False) -> DataFrame:
 
     A small file with one row group arrives as one partition, which would run
     the text work on a single core. A scan of a large table already has many
-    splits and is left alone, so nothing is shuffled there; unless the rows must
-    be ``hashed`` for groupings by ``key`` that would shuffle more.
+    splits and is left alone, so nothing is shuffled there; what is shuffled is
+    never more than four splits per core. Rows are ``hashed`` in any case if
+    groupings by ``key`` follow that would shuffle more.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < 4 * cores:
