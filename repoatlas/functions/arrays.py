@@ -1,5 +1,7 @@
 """Array expressions that other expressions are made of."""
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,21 +17,28 @@ def bind(value, use) -> Column:
     return F.get(F.transform(F.array(_column(value)), use), F.lit(0))
 
 
-def literal_strings(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+def constant(value, kind: str) -> Column:
+    """A list or dict as one constant of the plan, whatever its size."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
 
 
-def literal_doubles(values: list[float]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+def literal_strings(values: list[str]) -> Column:
+    return constant(values, "array<string>")
+
 
+def kept(tokens, wanted: list[str]) -> Column:
+    """The tokens that are among ``wanted``, repeats included.
 
-def literal_map(entries: dict[str, Column]) -> Column:
-    return F.create_map(*[c for key, value in entries.items() for c in (F.lit(key), value)])
+    The intersection hashes; the search per token is left with what it found.
+    """
 
+    def search(held) -> Column:
+        return bind(
+            F.array_intersect(held, literal_strings(wanted)),
+            lambda found: F.filter(held, lambda t: F.array_contains(found, t)),
+        )
 
-def kept(tokens, wanted: list[str]) -> Column:
-    """The tokens that are among ``wanted``, repeats included."""
-    return F.filter(_column(tokens), lambda t: F.array_contains(literal_strings(wanted), t))
+    return bind(tokens, search)
 
 
 def occurrences(tokens, token) -> Column:

@@ -22,9 +22,8 @@ from repoatlas.fixed_values import (
 )
 from repoatlas.functions.arrays import (
     bind,
+    constant,
     kept,
-    literal_doubles,
-    literal_map,
     literal_strings,
     occurrences,
     token_counts,
@@ -62,20 +61,20 @@ def squared_length(tokens) -> Column:
 
 def keyword_table(keywords: list[str]) -> Column:
     """Keywords as a literal array of ``(ord, keyword, terms)``."""
-    rows = []
-    for ord_, keyword in enumerate(keywords):
-        counts = Counter(re.findall(TFIDF_TOKEN, keyword.lower()))
-        pairs = [
-            F.struct(F.lit(term).alias("term"), F.lit(n).alias("n"))
-            for term, n in counts.items()
-        ]
-        held = F.array(*pairs) if pairs else F.array().cast("array<struct<term:string,n:int>>")
-        rows.append(
-            F.struct(
-                F.lit(ord_).alias("ord"), F.lit(keyword).alias("keyword"), held.alias("terms")
-            )
-        )
-    return F.array(*rows)
+    rows = [
+        {
+            "ord": ord_,
+            "keyword": keyword,
+            "terms": [
+                {"term": term, "n": n}
+                for term, n in Counter(re.findall(TFIDF_TOKEN, keyword.lower())).items()
+            ],
+        }
+        for ord_, keyword in enumerate(keywords)
+    ]
+    return constant(
+        rows, "array<struct<ord:int,keyword:string,terms:array<struct<term:string,n:int>>>>"
+    )
 
 
 def keyword_terms(keywords: list[str]) -> list[str]:
@@ -136,9 +135,9 @@ def category_bm25(text_words, categories: list[tuple[str, str]]) -> Column:
     """
     counts = [Counter(text.split()) for _, text in categories]
     vocabulary = list(dict.fromkeys(w for c in counts for w in c))
-    start = literal_doubles([0.5 * sum(c.values()) for c in counts])
-    per_word = literal_map(
-        {w: literal_doubles([float(c[w]) for c in counts]) for w in vocabulary}
+    start = constant([0.5 * sum(c.values()) for c in counts], "array<double>")
+    per_word = constant(
+        {w: [c[w] for c in counts] for w in vocabulary}, "map<string,array<double>>"
     )
 
     def step(scores, found):
@@ -167,14 +166,15 @@ def category_cosine(text_terms, categories: list[tuple[str, str]]) -> Column:
     }
     norms = [math.sqrt(sum((n * idf[t]) ** 2 for t, n in c.items())) or 1.0 for c in counts]
     # A text's own weight of a term, and what the term adds to each dot product.
-    own = literal_map({t: F.lit(idf[t]) for t in vocabulary})
-    shared = literal_map(
+    own = constant(idf, "map<string,double>")
+    shared = constant(
         {
-            t: literal_doubles([c[t] * idf[t] ** 2 / norm for c, norm in zip(counts, norms)])
+            t: [c[t] * idf[t] ** 2 / norm for c, norm in zip(counts, norms)]
             for t in vocabulary
-        }
+        },
+        "map<string,array<double>>",
     )
-    start = literal_doubles([0.0] * len(categories))
+    start = constant([0.0] * len(categories), "array<double>")
 
     def step(sums, found):
         weights = F.try_element_at(shared, found["term"])

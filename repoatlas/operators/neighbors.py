@@ -182,7 +182,8 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
 
 def _best(row_ids, rows, ids, matrix, k: int, per_row: bool) -> pd.DataFrame:
     """Best other per row, or best ``k`` rows per other; ties by lowest id."""
-    scores = np.round(_unit(rows) @ matrix.T, 6)
+    # Adding zero turns a rounded -0.0 into 0.0.
+    scores = np.round(_unit(rows) @ matrix.T, 6) + 0.0
     if per_row:
         place = scores.argmax(axis=1)
         return pd.DataFrame(

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repoatlas.fixed_values import ASCII_NO_LETTERS, LANGUAGE_WORDS
-from repoatlas.functions.arrays import bind, kept, literal_strings
+from repoatlas.functions.arrays import bind, constant, kept, literal_strings
 from repoatlas.functions.text import _column, terms
 from repoatlas.operators.skew import lookup_join
 from repoatlas.session import cut_lineage
@@ -56,7 +56,7 @@ def language_scores(text) -> Column:
     """Per language of the profile, how many of its words the text has."""
     tokens = F.split(F.lower(_column(text)), f"[{ASCII_NO_LETTERS}]+")
     everyday = [w for _, listed in LANGUAGE_WORDS for w in listed]
-    languages = F.array(*[literal_strings(listed) for _, listed in LANGUAGE_WORDS])
+    languages = constant([listed for _, listed in LANGUAGE_WORDS], "array<array<string>>")
     return bind(
         kept(tokens, everyday),
         lambda hits: F.transform(

@@ -204,7 +204,7 @@ _SQL_CENTROIDS = """parts AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS
   means AS (SELECT label, pos, avg(x) AS mean FROM parts GROUP BY ALL),
   centroids AS (SELECT label, list(mean ORDER BY pos) AS centroid FROM means GROUP BY label)"""
 _SQL_SIMILAR = f"""{_SQL_CENTROIDS}, similar_ AS (SELECT vec_id, e.label AS own, c.label AS label,
-    round(list_cosine_similarity(embedding::DOUBLE[], centroid), 6) AS score
+    round(list_cosine_similarity(embedding::DOUBLE[], centroid), 6) + 0 AS score
     FROM embeddings e CROSS JOIN centroids c)"""
 
 
@@ -218,7 +218,7 @@ def _vectors(spark, sf_dir):
          embedding::DOUBLE[])) AS norm FROM embeddings),
        x AS (SELECT vec_id, norm, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS pos FROM n)
        SELECT vec_id, CAST(pos AS INTEGER) AS pos,
-              round(CASE WHEN norm = 0 THEN x ELSE x / norm END, 6) AS value FROM x""",
+              round(CASE WHEN norm = 0 THEN x ELSE x / norm END, 6) + 0 AS value FROM x""",
 )
 def normalized(spark, sf_dir):
     unit = _vectors(spark, sf_dir).select("vec_id", l2_normalize("embedding").alias("v"))
@@ -228,7 +228,7 @@ def normalized(spark, sf_dir):
 
 @query(
     "label_centroids",
-    f"""WITH {_SQL_CENTROIDS} SELECT label, CAST(pos AS INTEGER) AS pos, round(mean, 6) AS mean FROM means""",
+    f"""WITH {_SQL_CENTROIDS} SELECT label, CAST(pos AS INTEGER) AS pos, round(mean, 6) + 0 AS mean FROM means""",
 )
 def label_centroids(spark, sf_dir):
     centroids = N.label_centroids(_vectors(spark, sf_dir))

@@ -51,8 +51,9 @@ def difference(spark_df, connection, sql: str) -> str | None:
     if len(mine) != len(other):
         return f"{len(mine)} rows != {len(other)}"
     for a, b in zip(mine, other):
-        if a != b:
-            return f"{sum(x != y for x, y in zip(mine, other))} rows differ, first {str(a)[:300]} != {str(b)[:300]}"
+        # By their text, which tells 0.0 from -0.0.
+        if repr(a) != repr(b):
+            return f"{sum(repr(x) != repr(y) for x, y in zip(mine, other))} rows differ, first {str(a)[:300]} != {str(b)[:300]}"
     return None if mine else "no rows"
 
 
