@@ -80,7 +80,3 @@ EXPORT_CSV_SCHEMA = T.StructType(
 PROGRESS_SCHEMA = T.StructType(
     [T.StructField("keyword", _TEXT), T.StructField("last_page", _COUNT)]
 )
-
-MESSAGE_TYPE = T.StructType(
-    [T.StructField("role", _TEXT), T.StructField("content", _TEXT)]
-)

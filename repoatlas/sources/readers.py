@@ -9,6 +9,7 @@ from repoatlas.operators.catalog import path_filter
 from repoatlas.schemas import (
     CATALOG_SCHEMA,
     EXPORT_CSV_SCHEMA,
+    HISTORY_SCHEMA,
     LEGACY_CSV_SCHEMA,
     PROGRESS_SCHEMA,
 )
@@ -28,6 +29,12 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CATALOG_SCHEMA).parquet(path)
 
 
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    """The history; a filter on ``snapshot_date`` reads those days only."""
+    with_day = T.StructType([*HISTORY_SCHEMA.fields, T.StructField("snapshot_date", T.DateType())])
+    return spark.read.schema(with_day).parquet(path)
+
+
 def read_legacy_csv(spark: SparkSession, path: str) -> DataFrame:
     """The legacy result file; header rows repeated inside it are skipped."""
     rows = _csv(spark, LEGACY_CSV_SCHEMA).csv(path)

@@ -69,11 +69,14 @@ def test_progress(spark, tmp_path):
 
 
 def test_history_is_partitioned_by_day(spark, tmp_path):
-    rows = spark.sql("SELECT 1L AS id, timestamp_ntz'2024-01-02 03:00:00' AS timestamp")
+    rows = spark.sql("SELECT 1L AS id, timestamp'2024-01-02 03:00:00' AS timestamp")
     W.append_history(rows, str(tmp_path / "h"))
     W.append_history(rows, str(tmp_path / "h"))
     assert (tmp_path / "h" / "snapshot_date=2024-01-02").is_dir()
-    assert spark.read.parquet(str(tmp_path / "h")).count() == 2
+    history = R.read_history(spark, str(tmp_path / "h"))
+    day = history.filter("snapshot_date = DATE'2024-01-02'")
+    assert day.count() == 2 and history.filter("snapshot_date > DATE'2024-01-02'").count() == 0
+    assert "PartitionFilters: [isnotnull(snapshot_date" in day._jdf.queryExecution().executedPlan().toString()
 
 
 def test_reset_table(spark):
