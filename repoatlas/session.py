@@ -1,6 +1,10 @@
 """Session settings, shared-folder checkpoints and scan parallelism."""
 
+import os
+import re
 import tempfile
+import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,18 +36,53 @@ def get_spark(app_name: str = "repoatlas", master: str | None = None, **conf) ->
 def use_checkpoint_folder(spark: SparkSession) -> str:
     """The checkpoint folder of this application.
 
-    The cluster names a shared folder in ``spark.checkpoint.dir``; only where
-    that is unset (tests, a laptop) is a fresh local folder used.
+    The cluster names a shared folder in ``spark.checkpoint.dir``. Where that is
+    unset, a session of one machine gets a fresh local folder, and any other
+    fails, since its executors would not see each other's files.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir") or spark.conf.get(
             "spark.checkpoint.dir", None
         )
+        if shared is None and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="repoatlas-"))
     return context.getCheckpointDir()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once as a Parquet table in the checkpoint folder, and read back.
+
+    Like ``cut_lineage``, for tables of which later steps need a few columns.
+    """
+    spark = df.sparkSession
+    place = f"{use_checkpoint_folder(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return spark.read.schema(df.schema).parquet(place)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per application.
+
+    Workers that were started from another folder, or on another machine, could
+    not import the functions they are to run.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_repoatlas_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="repoatlas-"), "repoatlas.zip")
+    with zipfile.ZipFile(archive, "w") as packed:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    packed.write(path, os.path.relpath(path, os.path.dirname(root)))
+    context.addPyFile(archive)
+    context._repoatlas_shipped = True
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written once to the checkpoint folder and read back from there.
 

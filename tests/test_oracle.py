@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from repoatlas.plans.registry import ORACLE, QUERIES
 from tests.compare import difference, duck
 from tests.conftest import SMALL
 
@@ -15,13 +16,13 @@ def connection():
     return duck(SMALL)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_matches_sql(spark, connection, name):
     assert difference(entry.queries()[name](spark, SMALL), connection, entry.oracle_sql()[name]) is None
 
 
 def test_all_but_encoders_have_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == NO_SQL
+    assert set(QUERIES) - set(ORACLE) == NO_SQL
 
 
 def test_entry_has_rows(spark):
