@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from repoatlas.llm.rows import keep_rows
-from repoatlas.llm.tasks import map_texts
+from repoatlas.llm.tasks import digest, map_texts
 from repoatlas.operators.skew import lookup_join
 from repoatlas.session import written
 
@@ -41,7 +41,7 @@ def _hashed(docs: DataFrame, id_col: str, text_col: str, hasher: Hasher, with_te
             return (
                 hashes,
                 [hashlib.sha256(c).hexdigest() for c in contents],
-                [hashlib.md5(t.encode(), usedforsecurity=False).hexdigest() for t in raw],
+                [digest(t) for t in raw],
             )
 
         return work

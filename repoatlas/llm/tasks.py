@@ -1,5 +1,6 @@
 """Python over texts inside Spark's tasks, in Arrow batches of bounded size."""
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -80,3 +81,8 @@ def map_texts(
                 yield pa.RecordBatch.from_arrays([*own.columns, *made], names=names)
 
     return rows.mapInArrow(run, schema)
+
+
+def digest(text: str | None) -> str:
+    """What ``rows.text_key`` gives for the text."""
+    return hashlib.md5((text or "").encode(), usedforsecurity=False).hexdigest()
