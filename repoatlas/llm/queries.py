@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from repoatlas.llm import exact_dedup, packing, simhash
+from repoatlas.llm import exact_dedup, packing, quality_rules, sharding, simhash
 from repoatlas.llm.tasks import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,3 +48,13 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_simhash")
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+@query("op8_jump_sharding")
+def op8_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_slots(documents(spark, sf_dir), shards=24)
+
+
+@query("op1_quality_rules")
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_verdicts(documents(spark, sf_dir)).drop("kept_share")
