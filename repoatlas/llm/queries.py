@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from repoatlas.llm import exact_dedup, packing, quality_rules, sharding, simhash
+from repoatlas.llm import exact_dedup, packing, pii, quality_rules, sharding, simhash
 from repoatlas.llm.tasks import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,3 +58,8 @@ def op8_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_quality_rules")
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(documents(spark, sf_dir)).drop("kept_share")
+
+
+@query("op2_bootstrapped_pii")
+def op2_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(documents(spark, sf_dir))
