@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from repoatlas.llm import exact_dedup, packing, pii, quality_rules, sharding, simhash
+from repoatlas.llm import exact_dedup, langid, packing, pii, quality_rules, sharding, simhash
 from repoatlas.llm.tasks import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,3 +63,8 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_bootstrapped_pii")
 def op2_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(documents(spark, sf_dir))
+
+
+@query("op7_language_id")
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_report(documents(spark, sf_dir))
