@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from repoatlas.llm import exact_dedup, langid, packing, pii, quality_rules, sharding, simhash
+from repoatlas.llm import exact_dedup, langid, packing, pii, quality_model, quality_rules, sharding, simhash
 from repoatlas.llm.tasks import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,3 +68,9 @@ def op2_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_language_id")
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_report(documents(spark, sf_dir))
+
+
+@query("op4_quality_gam")
+def op4_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_model.quality_scores(documents(spark, sf_dir), labels)
