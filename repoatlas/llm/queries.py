@@ -4,7 +4,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from repoatlas.llm import exact_dedup, langid, packing, pii, quality_model, quality_rules, sharding, simhash
+from repoatlas.llm import (
+    exact_dedup,
+    langid,
+    nbest,
+    packing,
+    pii,
+    quality_model,
+    quality_rules,
+    sharding,
+    simhash,
+    token_counts,
+)
 from repoatlas.llm.tasks import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,3 +85,13 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality_model.quality_scores(documents(spark, sf_dir), labels)
+
+
+@query("op5_token_counts")
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(documents(spark, sf_dir))
+
+
+@query("op9_nbest_pieces")
+def op9_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbest.encoding_report(documents(spark, sf_dir))
