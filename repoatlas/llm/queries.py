@@ -16,6 +16,20 @@ from repoatlas.llm import (
     simhash,
     token_counts,
 )
+from repoatlas.llm.quality_rules import (
+    BOILERPLATE,
+    DECORATION,
+    LINE_END,
+    MAX_DECORATION_PER_WORD,
+    MAX_LOSS,
+    MAX_REPEAT_PERCENT,
+    MIN_SEPARATORS,
+    MIN_WORDS,
+    SEPARATORS,
+    SPACE,
+    SYMBOLS,
+    WORDS_PER_SEPARATOR,
+)
 from repoatlas.llm.tasks import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,7 +80,40 @@ def op8_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_slots(documents(spark, sf_dir), shards=24)
 
 
-@query("op1_quality_rules")
+# The word and line rules of ``quality_rules``; this engine's patterns know no
+# possessive repeats, which change nothing here.
+QUALITY_SQL = f"""
+    WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+    w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words FROM t),
+    places AS (SELECT r, words, unnest(range(1, len(words) - 1)) AS i FROM w),
+    windows AS (SELECT r, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS g FROM places),
+    repeated AS (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM windows
+                 QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+    n_repeated AS (SELECT r, count(DISTINCT p) AS n FROM repeated GROUP BY r),
+    lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM t),
+    worded AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lines
+               WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY r),
+    trimmed AS (SELECT r, regexp_replace(line, '^{SPACE}|{SPACE}$', '', 'g') AS line FROM lines),
+    counted AS (SELECT *, len(string_split_regex(line, '{SPACE}')) AS words,
+                       len(regexp_extract_all(line, '{DECORATION}')) AS decorated,
+                       len(regexp_extract_all(line, '{SEPARATORS}')) AS separators FROM trimmed),
+    passed AS (SELECT r, sum(len(regexp_replace(line, '{SPACE}', '', 'g'))) AS n FROM counted
+               WHERE line = '' OR NOT (NOT regexp_matches(line, '{LINE_END.replace("*+", "*").replace("'", "''")}')
+                     OR decorated > {MAX_DECORATION_PER_WORD} * words
+                     OR (separators >= {MIN_SEPARATORS} AND separators * {WORDS_PER_SEPARATOR} >= words)
+                     OR regexp_matches(lower(line), '{"|".join(BOILERPLATE)}')) GROUP BY r),
+    base AS (SELECT w.r, doc_id, text, len(words)::BIGINT AS n_words, len(array_to_string(words, ''))::BIGINT AS word_chars,
+                    len(regexp_extract_all(text, '{SYMBOLS}'))::BIGINT AS n_symbols,
+                    coalesce(worded.n, 0)::BIGINT AS n_dup_lines, coalesce(n_repeated.n, 0)::BIGINT AS n_repeat_words,
+                    coalesce(passed.n, 0) AS kept_chars
+             FROM w LEFT JOIN worded USING (r) LEFT JOIN n_repeated USING (r) LEFT JOIN passed USING (r)),
+    judged AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM base)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+           NOT base_failed AND (word_chars = 0 OR kept_chars / word_chars >= {1 - MAX_LOSS}) AS kept FROM judged
+"""
+
+
+@query("op1_quality_rules", QUALITY_SQL)
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(documents(spark, sf_dir)).drop("kept_share")
 
