@@ -123,8 +123,7 @@ class NBestCoder:
 
     def _best(self, word: str) -> tuple[bytes, int, int | None]:
         cost, back, second = forward(word, self.pieces)
-        ids = [i for p in best_pieces(word, back) for i in self.pieces.encode_piece(p)]
-        return array("I", ids).tobytes(), cost[-1], None if second is None else second - cost[-1]
+        return self._ids(best_pieces(word, back)), cost[-1], None if second is None else second - cost[-1]
 
     def split(self, texts: list[str | None]) -> tuple[list[list[str]], dict[str, tuple[bytes, int, int | None]]]:
         """The pre-tokens of each text, and the entries of those not kept."""
@@ -153,13 +152,12 @@ class NBestCoder:
         entries = [known[w] if w in known else once[w] for w in words] if once else [known[w] for w in words]
         base = sum([e[1] for e in entries])
         raw = [e[0] for e in entries]
-        found = [(base, b"".join(raw))]
-        if n == 1:
-            return found
         changes = heapq.nsmallest(n - 1, ((e[2], place) for place, e in enumerate(entries) if e[2] is not None))
         ways = [(0, ())]
         for _, place in changes:
             own = search(words[place], n, self.pieces)
+            # Of several best ways the search may have come by another first.
+            raw[place] = self._ids(own[0][1])
             ways = heapq.nsmallest(
                 n,
                 (
@@ -169,13 +167,17 @@ class NBestCoder:
                 ),
                 key=lambda w: w[0],
             )
-        for more, chosen in ways[1:]:
-            changed = raw.copy()
+        found = []
+        for more, chosen in ways:
+            changed = raw.copy() if chosen else raw
             for place, names in chosen:
-                changed[place] = array("I", [i for p in names for i in self.pieces.encode_piece(p)]).tobytes()
+                changed[place] = self._ids(names)
             found.append((base + more, b"".join(changed)))
         return found
 
+    def _ids(self, names: list[str]) -> bytes:
+        return array("I", [i for p in names for i in self.pieces.encode_piece(p)]).tobytes()
+
     def decode(self, ids: bytes) -> str:
         """The text of an encoding: pieces and bytes joined, marks made blanks, the first dropped."""
         texts = self.pieces.texts
