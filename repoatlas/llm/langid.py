@@ -145,15 +145,19 @@ def _log_shares(counts: np.ndarray) -> np.ndarray:
 def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     """The sequence of columns with the best sum of scores less ``penalty`` per switch.
 
-    If no other column gains more than ``penalty`` over the best single column
-    in any run of rows, no switch can pay: a way through m runs of others gains
-    at most m penalties and costs that at least. Most texts end here.
+    A way of runs of columns is compared with the best single column. If none
+    of the others gains more than ``penalty`` over it in any run of rows, runs
+    between its own cannot pay: m of them gain at most m penalties and cost that
+    at least. A way without it has a switch less; it cannot pay either if a run
+    from the beginning and one to the end gain no more than one penalty
+    together. Most texts end here.
     """
     best = int(scores.sum(axis=0, dtype=np.float64).argmax())
-    gains = np.cumsum(scores - scores[:, [best]], axis=0, dtype=np.float64)
-    lows = np.minimum(np.minimum.accumulate(gains, axis=0), 0)
-    lows = np.vstack([np.zeros((1, scores.shape[1])), lows[:-1]])
-    if (gains - lows).max() <= penalty:
+    gains = np.zeros((len(scores) + 1, scores.shape[1]))
+    np.cumsum(scores - scores[:, [best]], axis=0, dtype=np.float64, out=gains[1:])
+    run = (gains - np.minimum.accumulate(gains, axis=0)).max()
+    to_end = (gains[-1] - gains.min(axis=0)).max()
+    if run <= penalty and gains.max() + to_end <= penalty:
         return np.full(len(scores), best)
     rows, columns = scores.shape
     came = np.empty((rows, columns), np.int32)
