@@ -34,10 +34,10 @@ def cosines(a, b):
     return np.round(unit(a.astype(np.float32).astype(float)) @ unit(b).T, 6)
 
 
-@pytest.mark.parametrize("bound", [4096, 5])
+@pytest.mark.parametrize("bound", [1 << 20, 1000])
 def test_top_k_equals_brute_force_shipped_and_in_blocks(tables, data, bound):
     vectors, queries = tables
-    got = N.knn_topk(vectors, queries, 4, max_shipped=bound).collect()
+    got = N.knn_topk(vectors, queries, 4, max_shipped_bytes=bound).collect()
     scores = cosines(data, data[:23])
     for q in range(23):
         best = sorted(range(300), key=lambda i: (-scores[i, q], i))[:4]
@@ -45,11 +45,11 @@ def test_top_k_equals_brute_force_shipped_and_in_blocks(tables, data, bound):
         assert mine == list(enumerate(best, 1))
 
 
-@pytest.mark.parametrize("bound", [4096, 5])
+@pytest.mark.parametrize("bound", [1 << 20, 1000])
 def test_nearest_prototype_shipped_and_in_blocks(tables, data, bound):
     vectors, queries = tables
     prototypes = queries.withColumnRenamed("query_id", "label").withColumnRenamed("embedding", "centroid")
-    got = {r.vec_id: r.label for r in N.nearest_prototype(vectors, prototypes, max_shipped=bound).collect()}
+    got = {r.vec_id: r.label for r in N.nearest_prototype(vectors, prototypes, max_shipped_bytes=bound).collect()}
     scores = cosines(data, data[:23])
     assert got == {i: 100 + int(scores[i].argmax()) for i in range(300)}
 
@@ -74,3 +74,38 @@ def test_zero_vectors(values):
         V.l2_normalize("a"), V.l2_normalize("b"), V.cosine("a", "b"), V.cosine("a", "a"), V.norm("a"),
     )
     assert got == [([0.6, 0.8], [0.0, 0.0], 0.0, 1.0, 5.0)]
+
+
+@pytest.mark.parametrize("bound", [1 << 20, 200])
+def test_string_ids_and_missing_vectors(spark, bound):
+    vectors = spark.createDataFrame(
+        [("a", [1.0, 0.0]), ("b", None), ("c", [0.0, 1.0]), ("d", [1.0, 1.0]), ("d", [1.0, 0.1])],
+        "vec_id string, embedding array<double>",
+    )
+    others = spark.createDataFrame(
+        [(f"q{i:02}", [float(i % 7), float(i % 5)]) for i in range(30)] + [("none", None)], "label string, centroid array<double>"
+    )
+    nearest = N.nearest_prototype(vectors, others, max_shipped_bytes=bound).collect()
+    got = sorted((r.vec_id, r.label, r.score) for r in nearest if r.vec_id != "b")
+    assert [(r.label, r.score) for r in nearest if r.vec_id == "b"] == [(None, None)]
+    assert got[0] == ("a", "q05", 1.0) and got[1] == ("c", "q07", 1.0) and len(got) == 4
+    top = N.knn_topk(vectors, others.withColumnRenamed("centroid", "embedding"), 2, query_id="label", max_shipped_bytes=bound)
+    rows = top.filter("label = 'q05'").orderBy("rank").collect()
+    assert [(r.rank, r.vec_id) for r in rows] == [(1, "a"), (2, "d")]
+    assert top.filter("vec_id = 'b' or label = 'none'").count() == 0
+
+
+def test_vectors_of_different_lengths_are_refused(spark):
+    ragged = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [0.0])], "vec_id long, embedding array<double>")
+    whole = spark.createDataFrame([(1, [1.0, 0.0])], "label long, centroid array<double>")
+    with pytest.raises(ValueError):
+        N.nearest_prototype(whole.withColumnRenamed("label", "vec_id").withColumnRenamed("centroid", "embedding"), ragged.toDF("label", "centroid"))
+    with pytest.raises(Exception, match="meet vectors of 2"):
+        N.nearest_prototype(ragged, whole).collect()
+
+
+def test_no_other_side(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    none = spark.createDataFrame([], "label long, centroid array<double>")
+    assert [tuple(r) for r in N.nearest_prototype(vectors, none).collect()] == [(1, None, None)]
+    assert N.knn_topk(vectors, none.toDF("query_id", "embedding"), 3).collect() == []
