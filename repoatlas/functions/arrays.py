@@ -45,6 +45,37 @@ def occurrences(tokens, token) -> Column:
     return F.size(F.filter(_column(tokens), lambda t: t == _column(token)))
 
 
+def term_places(tokens) -> Column:
+    """``(term, tf, first_pos)`` for each token, in term order.
+
+    Tokens are sorted with their places; a term begins where the one before
+    differs, and there its first place is.
+    """
+
+    def starts(ordered) -> Column:
+        places = F.transform(
+            ordered,
+            lambda t, i: F.when((i == 0) | (F.get(ordered, i - 1)["term"] != t["term"]), i),
+        )
+        return F.filter(places, lambda i: i.isNotNull())
+
+    def counts(ordered, first) -> Column:
+        return F.transform(
+            first,
+            lambda place, i: F.struct(
+                F.get(ordered, place)["term"].alias("term"),
+                (F.coalesce(F.get(first, i + 1), F.size(ordered)) - place).alias("tf"),
+                F.get(ordered, place)["pos"].alias("first_pos"),
+            ),
+        )
+
+    numbered = F.transform(_column(tokens), lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
+    return bind(
+        F.sort_array(numbered),
+        lambda ordered: bind(starts(ordered), lambda first: counts(ordered, first)),
+    )
+
+
 def token_counts(tokens) -> Column:
     """``(term, n)`` for each token, in term order.
 

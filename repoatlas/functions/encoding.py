@@ -60,7 +60,7 @@ def merge_keywords(keyword, *keyword_arrays) -> Column:
     merged = F.array_distinct(
         F.concat(*[F.coalesce(_column(a), F.array().cast("array<string>")) for a in keyword_arrays])
     )
-    return join_keywords(F.filter(merged, lambda k: k != _column(keyword)))
+    return join_keywords(F.filter(merged, lambda k: ~k.eqNullSafe(_column(keyword))))
 
 
 def parse_score_response(response) -> Column:
@@ -69,7 +69,7 @@ def parse_score_response(response) -> Column:
     Both fields must be there; otherwise, and for a missing answer or a
     malformed number, the fixed default score with no reasons is given.
     """
-    first = F.substring_index(F.trim(_column(response)), "\n", 1)
+    first = F.substring_index(collapse_edges(response), "\n", 1)
     score = F.regexp_extract(first, SCORE_FIELD, 1).try_cast("double")
     reasons = F.filter(
         F.transform(

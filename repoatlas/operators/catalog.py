@@ -82,12 +82,14 @@ def distinct_keywords(sightings: DataFrame) -> DataFrame:
 def state_counts(activity: DataFrame) -> DataFrame:
     """Open, closed and all items and distinct contributors per repository.
 
-    ``activity`` has one row per item: ``id``, ``state``, ``contributor``.
+    ``activity`` has one row per item: ``id``, ``kind``, ``state``,
+    ``contributor``. Open and closed items are counted of every kind, as the
+    host lists them, ``pulls`` only of kind ``pull``.
     """
     return activity.groupBy("id").agg(
         F.count_if(F.col("state") == "open").alias("open_issues"),
         F.count_if(F.col("state") == "closed").alias("closed_issues"),
-        F.count("*").alias("pulls"),
+        F.count_if(F.col("kind") == "pull").alias("pulls"),
         F.countDistinct("contributor").alias("contributors"),
     )
 

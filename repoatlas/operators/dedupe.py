@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 def dedupe_first(rows: DataFrame, key: str, seq: str = "seq") -> DataFrame:
     """Per ``key`` the row of lowest ``seq``.
 
-    An aggregate rather than a window: each task reduces its own rows of a key
-    to one before the shuffle, however many copies the key has.
+    ``seq`` is unique. Only keys and numbers are aggregated; each task reduces
+    its own rows of a key to one before the shuffle, however many copies the
+    key has. The wide rows then meet the numbers that stay.
     """
-    first = rows.groupBy(key).agg(F.min_by(F.struct(*rows.columns), seq).alias("row"))
-    return first.select("row.*")
+    firsts = rows.groupBy(key).agg(F.min(seq).alias(seq)).select(seq)
+    return rows.join(firsts, seq, "left_semi").select(*rows.columns)
 
 
 def duplicate_rows(rows: DataFrame, key: str, seq: str = "seq") -> DataFrame:

@@ -4,14 +4,15 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.ml.feature import IDF, HashingTF, Normalizer
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from repoatlas.fixed_values import SPACES, WIDE_SPACES
+from repoatlas.functions.arrays import term_places
 from repoatlas.functions.text import terms
+from repoatlas.functions.vectors import l2_normalize
+from repoatlas.session import ship_package, written
 
 _SPACES = re.compile(f"[{SPACES}{WIDE_SPACES}]+")
 
@@ -28,27 +29,26 @@ def infer(
     ``load`` runs once per task and returns the batch function, so a model is
     loaded once and then sees Arrow batches.
     """
-    schema = T.StructType([*rows.schema.fields, T.StructField(out_col, out_type)])
+    ship_package(rows.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(out_type)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()
         for batch in batches:
-            yield batch.assign(**{out_col: model(batch[in_col])})
+            yield model(batch)
 
-    return rows.mapInPandas(run, schema)
+    return rows.withColumn(out_col, run(in_col))
 
 
 def lead_summarizer(count: int = 3) -> Callable[[], Callable[[pd.Series], pd.Series]]:
-    """The stand-in for a summarizing model: the first sentences."""
+    """The stand-in for a summarizing model: the first sentences of a whole batch."""
 
     def load():
-        boundary = re.compile(r"(?<=[.!?]) ")
+        def first(texts: pd.Series) -> pd.Series:
+            flat = texts.str.replace(_SPACES, " ", regex=True).str.strip(" ")
+            return flat.str.split(r"(?<=[.!?]) ", regex=True).str[:count].str.join(" ")
 
-        def first(text: str) -> str:
-            flat = _SPACES.sub(" ", text).strip(" ")
-            return " ".join(boundary.split(flat)[:count])
-
-        return lambda texts: texts.map(first, na_action="ignore")
+        return first
 
     return load
 
@@ -56,16 +56,44 @@ def lead_summarizer(count: int = 3) -> Callable[[], Callable[[pd.Series], pd.Ser
 def hash_embeddings(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dimensions: int = 1024
 ) -> DataFrame:
-    """Length-one TF-IDF vectors over hashed terms.
+    """Length-one TF-IDF vectors over hashed terms, as ``positions`` and ``values``.
 
-    The default encoder. Fitting it sums one vector of ``dimensions`` over all
-    documents, so its model has the same size for any corpus.
+    The default encoder. A term's position is the beginning of its MD5 digest
+    modulo ``dimensions``, at most 65,536. Each text is split once; the counts
+    are written, and document frequencies, one row per dimension at most, are
+    made of them and applied inside the row. A text without a term has no
+    positions.
     """
-    tokens = docs.select(doc_id, terms(text).alias("terms"))
-    counted = HashingTF(inputCol="terms", outputCol="tf", numFeatures=dimensions).transform(tokens)
-    weighted = IDF(inputCol="tf", outputCol="tfidf").fit(counted).transform(counted)
-    unit = Normalizer(inputCol="tfidf", outputCol="unit", p=2.0).transform(weighted)
-    return unit.select(doc_id, vector_to_array("unit").alias("embedding"))
+    place = lambda t: (F.conv(F.substring(F.md5(t), 1, 4), 16, 10).cast("int") % dimensions)
+    counted = written(
+        docs.select(
+            F.col(doc_id).alias("doc"),
+            term_places(F.transform(F.coalesce(terms(text), F.array().cast("array<string>")), place)).alias("found"),
+        )
+    )
+    frequencies = counted.select(F.explode("found.term").alias("pos")).groupBy("pos").agg(F.count("*").alias("df"))
+    corpus = counted.agg(F.count("*").alias("n")).scalar()
+    weights = (
+        docs.sparkSession.range(dimensions)
+        .select(F.col("id").cast("int").alias("pos"))
+        .join(frequencies, "pos", "left")
+        .agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("df", F.lit(0)).alias("df")))).alias("all"))
+        .scalar()
+    )
+    held = counted.withColumns({"n": corpus, "weights": weights})
+    idf = lambda pos: F.log((F.col("n") + 1.0) / (F.get(F.col("weights"), pos)["df"] + 1.0))
+    raw = held.select(
+        "doc", F.col("found.term").alias("positions"), F.transform("found", lambda t: t["tf"] * idf(t["term"])).alias("raw")
+    )
+    return raw.select(F.col("doc").alias(doc_id), "positions", l2_normalize("raw").alias("values"))
+
+
+def dense(positions: str, values: str, dimensions: int = 1024) -> Column:
+    """A vector of ``dimensions`` numbers of the positions and values."""
+    filled = F.map_from_arrays(positions, values)
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.try_element_at(filled, i), F.lit(0.0))
+    )
 
 
 def encode_texts(

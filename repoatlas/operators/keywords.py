@@ -117,6 +117,18 @@ def bm25_rank(
     return ranked.filter(F.col("rank") <= k)
 
 
+def resume_matches(matches: DataFrame, keywords: list[str], last_keyword: str | None) -> DataFrame:
+    """The matches (with ``ord``) of the keywords that a stop left to do.
+
+    Applied before pages are numbered, it saves sorting what is done already.
+    """
+    if last_keyword is None:
+        return matches
+    if last_keyword not in keywords:
+        return matches.filter(F.lit(False))
+    return matches.filter(F.col("ord") >= keywords.index(last_keyword))
+
+
 def resume_pages(
     work: DataFrame, keywords: list[str], last_keyword: str | None, last_page: int | None
 ) -> DataFrame:

@@ -72,14 +72,19 @@ def _fixed_rows(rows: DataFrame, block: int, lines: list[str], section_seq: int,
 
 def _star_badge(stars: str) -> Column:
     before, after = STAR_BADGE.split("{stars}")
-    return F.concat(F.lit(before), F.col(stars).cast("string"), F.lit(after))
+    return F.concat(F.lit(before), _text(stars), F.lit(after))
+
+
+def _text(column: str) -> Column:
+    """The value as text; an entry is not lost for one that is missing."""
+    return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
 def catalog_entry(component_label: str) -> Column:
     """The entry of a catalog row, one line with details below it."""
     others = F.replace(F.coalesce("additional_keywords", F.lit("")), F.lit("|"), F.lit(","))
     return F.concat(
-        F.lit("\n- **["), repo_name("url"), F.lit("]("), F.col("url"), F.lit(")** - "),
+        F.lit("\n- **["), repo_name(_text("url")), F.lit("]("), _text("url"), F.lit(")** - "),
         F.coalesce("brief_desc", F.lit("None")), F.lit(" "), _star_badge("stars_count"),
         F.lit(f"\n    - {component_label}: "), F.coalesce("keyword", F.lit("")),
         F.lit(", "), others, F.lit("\n    - auto_generated = True\n"),
@@ -89,10 +94,10 @@ def catalog_entry(component_label: str) -> Column:
 def csv_entry(component_label: str) -> Column:
     """The entry of a row of the legacy result file."""
     return F.concat(
-        F.lit("- ["), repo_name("repo_url"), F.lit("]("), F.col("repo_url"),
-        F.lit("): License: "), F.col("license"), F.lit(": "), F.col("brief_desc"),
+        F.lit("- ["), repo_name(_text("repo_url")), F.lit("]("), _text("repo_url"),
+        F.lit("): License: "), _text("license"), F.lit(": "), _text("brief_desc"),
         F.lit(" "), _star_badge("num_stars"), F.lit(f"\n{component_label} used : "),
-        F.col("keyword"), F.lit(" \nLanguages: "), F.col("languages"), F.lit(" "),
+        _text("keyword"), F.lit(" \nLanguages: "), _text("languages"), F.lit(" "),
     )
 
 
@@ -130,7 +135,7 @@ def report_csv(
     component_label: str = "Component",
 ) -> DataFrame:
     """The report of the legacy result rows (with ``seq``), first per URL."""
-    listed = dedupe_first(rows, "repo_url")
+    listed = dedupe_first(rows, "repo_url").withColumn("topic", _text("topic"))
     sections, entries = _sectioned(listed, csv_entry(component_label), "topic")
     place = F.col("section_seq")
     # Entries end in a blank of their own that opens the next line.

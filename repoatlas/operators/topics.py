@@ -4,10 +4,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repoatlas.fixed_values import ASCII_NO_LETTERS, LANGUAGE_WORDS
-from repoatlas.functions.arrays import bind, constant, kept, literal_strings
+from repoatlas.functions.arrays import bind, constant, kept, literal_strings, term_places
 from repoatlas.functions.text import _column, terms
 from repoatlas.operators.skew import lookup_join
-from repoatlas.session import cut_lineage
+from repoatlas.session import written
 
 
 def extract_topics(
@@ -16,40 +16,28 @@ def extract_topics(
     """Per document its ``n`` strongest terms, in order of first appearance.
 
     Strength is the term's count times its inverse document frequency in the
-    whole corpus. Texts that come hashed by ``doc_id`` (see ``spread``) are
-    counted without a further shuffle.
+    whole corpus. A document without a term has an empty text. Each text is
+    split once, inside its row, into terms with their counts and first places;
+    that table is written, and the corpus counts, the size of the corpus and
+    the weights are all made of it. No text is shuffled.
     """
-    # The outer variants of explode keep Spark from testing the array's size in
-    # a filter of its own, which would clean and split every text once more.
-    split = docs.select(doc_id, terms(text).alias("terms"))
-    frequencies = cut_lineage(
-        split.select(F.explode_outer(F.array_distinct("terms")).alias("term"))
-        .filter("term IS NOT NULL")
-        .groupBy("term")
-        .agg(F.count("*").alias("df"))
-    )
-    counted = (
-        split.select(doc_id, F.posexplode_outer("terms").alias("pos", "term"))
-        .filter("term IS NOT NULL")
-        .groupBy(doc_id, "term")
-        .agg(F.count("*").alias("tf"), F.min("pos").alias("first_pos"))
-    )
-    corpus_size = docs.agg(F.count("*")).scalar()
-    weight = F.col("tf") * (F.log((1 + F.col("corpus")) / (1 + F.col("df"))) + 1)
-    weighted = (
-        lookup_join(counted, frequencies, "term", "df", doc_id)
-        .withColumn("corpus", corpus_size)
-        .select(doc_id, "term", "first_pos", F.round(weight, 6).alias("weight"))
+    counted = written(docs.select(F.col(doc_id).alias("doc"), term_places(terms(text)).alias("found")))
+    placed = counted.select("doc", F.explode("found").alias("t")).select("doc", "t.*")
+    frequencies = written(placed.groupBy("term").agg(F.count("*").alias("df")))
+    corpus = F.lit(float(counted.count()))
+    weight = F.col("tf") * (F.log((1 + corpus) / (1 + F.col("df"))) + 1)
+    weighted = lookup_join(placed, frequencies, "term", "df", "doc").select(
+        "doc", "term", "first_pos", F.round(weight, 6).alias("weight")
     )
     # One document's terms form a group, never more than the document is long.
-    strongest = Window.partitionBy(doc_id).orderBy(F.desc("weight"), "term")
-    kept = weighted.withColumn("rank", F.row_number().over(strongest)).filter(F.col("rank") <= n)
+    strongest = Window.partitionBy("doc").orderBy(F.desc("weight"), "term")
+    best = weighted.withColumn("rank", F.row_number().over(strongest)).filter(F.col("rank") <= n)
     ordered = F.array_sort(F.collect_list(F.struct("first_pos", "term")))
-    return (
-        kept.groupBy(doc_id)
-        .agg(ordered.alias("found"))
-        .select(doc_id, F.array_join(F.transform("found", lambda t: t["term"]), " ").alias("topics"))
+    topics = best.groupBy("doc").agg(ordered.alias("found")).select(
+        "doc", F.array_join(F.transform("found", lambda t: t["term"]), " ").alias("topics")
     )
+    none = counted.filter(F.coalesce(F.size("found"), F.lit(0)) <= 0).select("doc", F.lit("").alias("topics"))
+    return topics.unionByName(none).withColumnRenamed("doc", doc_id)
 
 
 def language_scores(text) -> Column:

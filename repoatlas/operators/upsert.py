@@ -50,9 +50,10 @@ def keyword_rollup(sightings: DataFrame, order: list[str]) -> DataFrame:
 
 def first_sightings(sightings: DataFrame, order: list[str]) -> DataFrame:
     """Per ``id`` its earliest full row, with all its keywords rolled up."""
-    first = sightings.groupBy("id").agg(
-        F.min_by(F.struct(*sightings.columns), F.struct(*order)).alias("row")
-    )
+    # Ids and order columns alone tell the first row; it is unique by them.
+    firsts = sightings.groupBy("id").agg(F.min(F.struct(*order)).alias("first_seen"))
+    firsts = firsts.select("id", *[F.col("first_seen")[c].alias(c) for c in order])
+    first = sightings.join(firsts, ["id", *order], "left_semi").dropDuplicates(["id"])
     carried = F.array_append(split_keywords("additional_keywords"), F.col("keyword"))
     keywords = (
         sightings.select("id", F.explode(carried).alias("seen"))
@@ -61,8 +62,7 @@ def first_sightings(sightings: DataFrame, order: list[str]) -> DataFrame:
         .agg(F.collect_set("seen").alias("keywords"))
     )
     return (
-        first.select("row.*")
-        .join(keywords, "id")
+        first.join(keywords, "id")
         .withColumn("additional_keywords", merge_keywords("keyword", "keywords"))
         .select(*sightings.columns)
     )

@@ -2,21 +2,26 @@
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from repoatlas.fixed_values import REPORT_CONTENTS_TITLE, REPORT_TITLE
 from repoatlas.functions.encoding import parse_score_response, row_document
+from repoatlas.functions.text import date_floor, distinct_phrases, repo_name, run_name
 from repoatlas.operators import catalog as C
 from repoatlas.operators import report as R
 from repoatlas.operators import upsert as U
 from repoatlas.operators.classify import enrich_catalog
 from repoatlas.operators.dedupe import dedupe_first, duplicate_rows, text_key
-from repoatlas.operators.keywords import keyword_match, resume_pages
+from repoatlas.operators.skew import number_rows
+from repoatlas.operators.keywords import keyword_match, resume_matches, resume_pages
 from repoatlas.plans import inputs as I
 from repoatlas.plans.registry import query
 from repoatlas.plans.score_queries import sql_cosine_label
 from repoatlas.plans.text_queries import _RESPONSE, with_response
+from repoatlas.schemas import EXPORT_CSV_SCHEMA
 from repoatlas.session import use_checkpoint_folder
+from repoatlas.sources import readers, writers
 from repoatlas.streaming import ingest
 
 PAGE_SIZE = 30
@@ -178,7 +183,7 @@ def distinct_keywords(spark, sf_dir):
 _SQL_STATES = """states AS (SELECT o_custkey AS id,
   count(*) FILTER (o_orderstatus = 'O') AS open_issues,
   count(*) FILTER (o_orderstatus = 'F') AS closed_issues,
-  count(*) AS pulls, count(DISTINCT o_orderpriority) AS contributors FROM orders GROUP BY o_custkey)"""
+  count(*) FILTER (o_totalprice > 150000) AS pulls, count(DISTINCT o_orderpriority) AS contributors FROM orders GROUP BY o_custkey)"""
 
 
 @query("state_counts", f"WITH {_SQL_STATES} SELECT * FROM states")
@@ -295,7 +300,7 @@ _SQL_WORK = f"""work AS (SELECT id, ord, keyword,
 def pages_to_resume(spark, sf_dir):
     """Every keyword's matches in pages, from page 2 of the second keyword on."""
     rows = I.catalog(spark, sf_dir, wide=True).select("id", "updated_at", "readme")
-    matches = keyword_match(rows, I.KEYWORDS)
+    matches = resume_matches(keyword_match(rows, I.KEYWORDS), I.KEYWORDS, I.KEYWORDS[1])
     work = C.catalog_pages(matches, PAGE_SIZE, group="ord")
     left = resume_pages(work, I.KEYWORDS, I.KEYWORDS[1], 2)
     return left.select("id", "ord", "keyword", "page")
@@ -307,7 +312,7 @@ def pages_to_resume(spark, sf_dir):
 @query(
     "enrich_catalog",
     f"""WITH r AS (SELECT doc_id, {I.sql_lead('text')} AS brief_desc,
-          string_split(trim({_RESPONSE}), chr(10))[1] AS line FROM documents),
+          string_split(regexp_replace({_RESPONSE}, '^\\s+|\\s+$', '', 'g'), chr(10))[1] AS line FROM documents),
         s AS (SELECT doc_id, brief_desc,
           TRY_CAST(regexp_extract(line, 'Relevancy_score\\s*=\\s*([\\d.]+)', 1) AS DOUBLE) AS score FROM r),
         {sql_cosine_label('s', 'brief_desc')}
@@ -416,6 +421,182 @@ def report_csv(spark, sf_dir):
     return R.report_csv(rows)
 
 
+# --- written and read back --------------------------------------------------
+
+
+def _legacy_rows(spark, sf_dir):
+    """Result rows of the legacy file; French ones know no languages, copies share a URL."""
+    rows = I.catalog(spark, sf_dir, wide=True)
+    return rows.select(
+        F.concat(F.lit("https://example.org/"), F.md5("readme")).alias("repo_url"),
+        F.lit("Other").alias("license"),
+        F.col("stars_count").cast("string").alias("num_stars"),
+        F.lit("0").alias("num_forks"),
+        F.date_format("pushed_at", "yyyy-MM-dd").alias("last_push"),
+        F.when(F.col("language") != "fr", F.col("language")).alias("languages"),
+        F.array("language", F.lit("x")).alias("topics"),
+        F.col("language").alias("keyword"),
+        F.lit("True").alias("is_relevant"),
+        F.col("readme"),
+        F.col("brief_desc"),
+        F.col("class_label").alias("topic"),
+        F.array().cast("array<string>").alias("additional_keywords"),
+        "seq",
+    )
+
+
+def _legacy_file(spark, sf_dir) -> str:
+    folder = _folder(spark, "legacy")
+    # The order of the rows in the file is the order of the report.
+    writers.append_legacy_csv(_legacy_rows(spark, sf_dir).orderBy("seq"), folder)
+    return folder
+
+
+@query(
+    "legacy_csv_rows",
+    f"""WITH {I.SQL_CATALOG} SELECT 'https://example.org/' || md5(readme) AS repo_url,
+        CAST(stars_count AS VARCHAR) AS num_stars, CASE WHEN language = 'fr' THEN '' ELSE language END AS languages,
+        language || ',x' AS topics, md5(readme) AS readme_md5, brief_desc,
+        row_number() OVER (ORDER BY seq) AS place FROM catalog""",
+)
+def legacy_csv_rows(spark, sf_dir):
+    """The legacy file written, and read back with its rows in file order."""
+    rows = readers.read_legacy_csv(spark, _legacy_file(spark, sf_dir))
+    numbered = number_rows(
+        rows.select("repo_url", "num_stars", "languages", "topics", F.md5("readme").alias("readme_md5"), "brief_desc", "seq"),
+        [F.col("seq")],
+    )
+    return numbered.select("*", (F.col("position") + 1).alias("place")).drop("seq", "position")
+
+
+@query(
+    "legacy_csv_report",
+    f"""WITH {I.SQL_CATALOG},
+        copies AS (SELECT *, row_number() OVER (PARTITION BY readme ORDER BY seq) AS n FROM catalog),
+        listed AS (SELECT * FROM copies WHERE n = 1),
+        sections AS (SELECT class_label, row_number() OVER (ORDER BY min(seq)) AS place, min(seq) AS first
+          FROM listed GROUP BY class_label)
+        SELECT place, row_number() OVER (PARTITION BY place ORDER BY seq) AS entry,
+          CASE WHEN seq = first THEN '' ELSE ' ' END || '- ['
+          || md5(readme) || '](https://example.org/' || md5(readme) || '): License: Other: ' || brief_desc
+          || ' ![GitHub stars](https://img.shields.io/badge/stars-' || stars_count || '-blue)' || chr(10)
+          || 'Component used : ' || language || ' ' || chr(10) || 'Languages: '
+          || CASE WHEN language = 'fr' THEN '' ELSE language END || ' ' AS line
+        FROM listed JOIN sections USING (class_label)""",
+)
+def legacy_csv_report(spark, sf_dir):
+    """The legacy file written, read back and reported: the entries of its sections."""
+    lines = R.report_csv(readers.read_legacy_csv(spark, _legacy_file(spark, sf_dir)))
+    entries = lines.filter((F.col("block") == 2) & (F.col("seq") >= 0) & F.contains("line", F.lit("Component used")))
+    place = F.dense_rank().over(Window.orderBy("section_seq"))
+    places = entries.select("section_seq").distinct().withColumn("place", place.cast("long"))
+    entry = F.row_number().over(Window.partitionBy("section_seq").orderBy("seq")).cast("long")
+    return entries.join(places, "section_seq").select("place", entry.alias("entry"), "line")
+
+
+@query(
+    "duplicate_url_list",
+    """SELECT 'https://example.org/' || key AS line FROM (SELECT md5(text) AS key,
+         row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM documents) WHERE n > 1""",
+)
+def duplicate_url_list(spark, sf_dir):
+    """The URLs left out as duplicates, as a text file."""
+    folder = _folder(spark, "urls")
+    rows = I.table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("https://example.org/"), F.md5("text")).alias("url"), F.col("doc_id").alias("seq")
+    )
+    writers.write_url_list(duplicate_rows(rows, "url"), "url", "seq", folder)
+    return spark.read.text(folder).select(F.col("value").alias("line"))
+
+
+@query(
+    "export_csv_rows",
+    f"""WITH {I.SQL_CATALOG} SELECT id, url, stars_count, language, class_label,
+        strftime(updated_at, '%Y-%m-%d') AS updated_at FROM catalog""",
+)
+def export_csv_rows(spark, sf_dir):
+    """The export written and read back with its types."""
+    folder = _folder(spark, "export")
+    rows = I.catalog(spark, sf_dir)
+    names = EXPORT_CSV_SCHEMA.names
+    writers.export_csv(rows.select(*[F.col(n) if n in rows.columns else F.lit(None).cast("string").alias(n) for n in names]), folder)
+    back = readers.read_export_csv(spark, folder)
+    return back.select("id", "url", "stars_count", "language", "class_label", _day("updated_at"))
+
+
+@query(
+    "tsv_repair_rows",
+    f"WITH {I.SQL_CATALOG} SELECT url AS repo_url, CASE WHEN toxic = 1 THEN 'toxic' ELSE '' END AS license FROM catalog",
+)
+def tsv_repair_rows(spark, sf_dir):
+    """A file with a column too many and values missing, repaired and read back."""
+    folder = _folder(spark, "tsv")
+    license_ = F.when(F.col("toxic") == 1, F.lit("toxic")).alias("license")
+    writers.repair_tsv(I.catalog(spark, sf_dir).select(F.col("url").alias("repo_url"), "language", license_), folder)
+    back = readers.read_tsv(spark, folder)
+    return back.select("repo_url", F.coalesce("license", F.lit("")).alias("license"))
+
+
+@query(
+    "history_by_day",
+    f"""WITH {I.SQL_SIGHTINGS} SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS sightings,
+        count(DISTINCT id) AS repositories FROM sightings WHERE ts >= TIMESTAMP '{I.CUTOVER}' GROUP BY day""",
+)
+def history_by_day(spark, sf_dir):
+    """The history written by day, and read from the cutover's day on."""
+    folder = _folder(spark, "history")
+    seen = I.sightings(spark, sf_dir)
+    stamped = seen.select("id", "keyword", F.col("ts").cast("timestamp").alias("timestamp"))
+    writers.append_history(stamped, folder)
+    days = readers.read_history(spark, folder).filter(F.col("snapshot_date") >= F.lit(I.CUTOVER).cast("date"))
+    return days.groupBy(F.date_format("snapshot_date", "yyyy-MM-dd").alias("day")).agg(
+        F.count("*").alias("sightings"), F.countDistinct("id").alias("repositories")
+    )
+
+
+@query(
+    "replaced_table",
+    f"WITH {I.SQL_CATALOG} SELECT id, 'second' AS version, stars_count + 1 AS stars_count FROM catalog",
+)
+def replaced_table(spark, sf_dir):
+    """A table's second version, made of the first while that is still there."""
+    folder = _folder(spark, "versions")
+    first = writers.replace_table(I.catalog(spark, sf_dir).select("id", "stars_count"), folder, "first")
+    grown = spark.read.parquet(first).withColumn("stars_count", F.col("stars_count") + 1)
+    second = writers.replace_table(grown, folder, "second")
+    return spark.read.parquet(second).withColumn("version", F.lit("second"))
+
+
+@query(
+    "run_labels",
+    f"""WITH {I.SQL_CATALOG} SELECT id, 'repos_2025-01-01_00-00-00' AS run,
+        strftime(DATE '{I.AS_OF}' - 183, '%Y-%m-%d') AS pushed_since,
+        language || ' ' || class_label || ' topic' AS phrases FROM catalog""",
+)
+def run_labels(spark, sf_dir):
+    """A run's name, its earliest day, and phrases without repeats."""
+    return I.catalog(spark, sf_dir).select(
+        "id",
+        run_name(F.lit(I.BATCH_TS)).alias("run"),
+        date_floor(I.AS_OF, 183).alias("pushed_since"),
+        distinct_phrases(F.array("language", "class_label", "language", F.lit("topic"), "class_label")).alias("phrases"),
+    )
+
+
+@query(
+    "catalog_search_page",
+    f"""WITH {I.SQL_CATALOG}, found AS (SELECT id, updated_at, row_number() OVER (ORDER BY updated_at DESC, id) - 1 AS n
+          FROM catalog WHERE contains(lower(readme), 'that') AND stars_count >= 300
+          AND pushed_at >= DATE '{I.AS_OF}' - 183)
+        SELECT id, strftime(updated_at, '%Y-%m-%d') AS updated_at FROM found WHERE n // {PAGE_SIZE} = 1""",
+)
+def catalog_search_page(spark, sf_dir):
+    """The second page of a search, newest first: a page is what is asked for."""
+    rows = I.catalog(spark, sf_dir, wide=True)
+    found = C.catalog_search(rows, "that", 300, 183, I.AS_OF, page=1, page_size=PAGE_SIZE)
+    return found.select("id", _day("updated_at"))
+
+
 # --- streams ----------------------------------------------------------------
 
 
@@ -423,26 +604,47 @@ def _folder(spark, name: str) -> str:
     return f"{use_checkpoint_folder(spark)}/{name}-{uuid.uuid4()}"
 
 
-def _stream(spark, sf_dir, name: str):
-    """A table file as a stream of landed files."""
-    schema = I.table(spark, sf_dir, name).schema
-    landing = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-    return landing.parquet(sf_dir)
+def _stream(spark, rows, order: str, files: int = 4):
+    """``rows`` landed as files one after the other, in ``order``, read one file per batch."""
+    folder = _folder(spark, "landing")
+    place = F.col(order).cast("double")
+    bounds = rows.select(place.alias("x")).approxQuantile("x", [n / files for n in range(1, files)], 0.01)
+    edges = [float("-inf"), *bounds, float("inf")]
+    for low, high in zip(edges, edges[1:]):
+        part = rows.filter((place > low) & (place <= high))
+        part.coalesce(1).write.mode("append").parquet(folder)
+    return ingest.read_landing(spark, folder, rows.schema, files_per_batch=1)
 
 
 def _sighting_stream(spark, sf_dir):
-    return _stream(spark, sf_dir, "events").select(
+    rows = I.table(spark, sf_dir, "events").select(
         F.col("user_id").alias("id"), F.col("event_type").alias("keyword"),
         F.lit("").alias("additional_keywords"), "ts", "event_id",
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"),
+    )
+    return _stream(spark, rows, "micros").drop("micros")
+
+
+@query(
+    "stream_pages",
+    """SELECT page_id, string_split(url, '/')[-1] AS repo_name, len(html) AS n_chars FROM pages""",
+)
+def stream_pages(spark, sf_dir):
+    """Landed pages, transformed batch by batch and picked up where the last run stopped."""
+    folder = _folder(spark, "pages")
+    rows = I.table(spark, sf_dir, "pages")
+    transformed = lambda batch: batch.select(
+        "page_id", repo_name("url").alias("repo_name"), F.length("html").cast("long").alias("n_chars")
     )
+    stream = _stream(spark, rows, "page_id")
+    ingest.ingest_pages(stream, folder, _folder(spark, "pages-state"), transformed)
+    return ingest.read_batches(spark, folder, transformed(rows).schema).drop("batch_id")
 
 
 @query("stream_dedupe", f"WITH {_SQL_COPIES} SELECT seq, source, n_chars FROM copies WHERE n = 1")
 def stream_dedupe(spark, sf_dir):
     folder = _folder(spark, "first")
-    stream = _stream(spark, sf_dir, "documents").select(
-        text_key("text").alias("key"), F.col("doc_id").alias("seq"), "source", "n_chars"
-    )
+    stream = _stream(spark, _copies(spark, sf_dir), "seq")
     ingest.ingest_first_by_key(stream, folder, _folder(spark, "first-state"), "key")
     return ingest.read_batches(spark, folder, stream.schema).select("seq", "source", "n_chars")
 

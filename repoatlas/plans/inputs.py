@@ -24,13 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts(spark: SparkSession, sf_dir: str, hashed: bool = False) -> DataFrame:
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents spread over all cores, for the work on their texts."""
-    return spread(table(spark, sf_dir, "documents"), "doc_id", hashed)
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
 
 
-def cleaned(spark: SparkSession, sf_dir: str, hashed: bool = False) -> DataFrame:
-    return texts(spark, sf_dir, hashed).select("doc_id", clean_readme("text").alias("readme"))
+def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texts(spark, sf_dir).select("doc_id", clean_readme("text").alias("readme"))
 
 
 def catalog(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
@@ -86,6 +86,7 @@ def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).otherwise("merged")
     return table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("id"),
+        F.when(F.col("o_totalprice") > 150_000, "pull").otherwise("issue").alias("kind"),
         state.alias("state"),
         F.col("o_orderpriority").alias("contributor"),
     )

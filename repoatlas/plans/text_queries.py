@@ -63,14 +63,17 @@ def lead3_summary(spark, sf_dir):
 
 @query(
     "decode_readme",
-    f"""SELECT doc_id, CASE WHEN lang = 'es' THEN 'no readme found'
-               ELSE {I.sql_clean('lower(text)')} END AS readme FROM documents""",
+    f"""SELECT doc_id, {I.sql_clean('lower(text)')} AS readme FROM documents
+        UNION ALL SELECT -1 - doc_id, 'no readme found' FROM documents WHERE lang = 'es'""",
 )
 def decode_readme(spark, sf_dir):
-    """README contents as a host sends them; the Spanish ones are missing."""
-    content = F.when(F.col("lang") != "es", F.base64(F.encode("text", "UTF-8")))
-    sent = I.texts(spark, sf_dir).select("doc_id", content.alias("content"))
-    return sent.select("doc_id", X.decode_readme("content").alias("readme"))
+    """README contents as a host sends them; some more repositories have none."""
+    docs = I.texts(spark, sf_dir)
+    sent = docs.select("doc_id", F.base64(F.encode("text", "UTF-8")).alias("content"))
+    missing = I.table(spark, sf_dir, "documents").filter("lang = 'es'").select(
+        (-1 - F.col("doc_id")).alias("doc_id"), F.lit(None).cast("string").alias("content")
+    )
+    return sent.unionByName(missing).select("doc_id", X.decode_readme("content").alias("readme"))
 
 
 @query(
@@ -93,7 +96,7 @@ def url_parts(spark, sf_dir):
 
 _RESPONSE = (
     "CASE WHEN lang = 'de' THEN 'Relevancy_score = n/a' "
-    "ELSE '  Relevancy_score = 0.' || n_chars || ', Reasons = [ in ' || lang || ', , from ' "
+    "ELSE chr(10) || '  Relevancy_score = 0.' || n_chars || ', Reasons = [ in ' || lang || ', , from ' "
     "|| source || ' ]' || chr(10) || 'Relevancy_score = 1' END"
 )
 
@@ -101,7 +104,7 @@ _RESPONSE = (
 def with_response(docs):
     """Model answers made of the row's own columns; German rows' are malformed."""
     good = F.concat(
-        F.lit("  Relevancy_score = 0."), F.col("n_chars").cast("string"),
+        F.lit("\n  Relevancy_score = 0."), F.col("n_chars").cast("string"),
         F.lit(", Reasons = [ in "), "lang", F.lit(", , from "), "source",
         F.lit(" ]\nRelevancy_score = 1"),
     )
@@ -111,7 +114,7 @@ def with_response(docs):
 
 @query(
     "parse_score_response",
-    f"""WITH r AS (SELECT doc_id, string_split(trim({_RESPONSE}), chr(10))[1] AS line FROM documents),
+    f"""WITH r AS (SELECT doc_id, string_split(regexp_replace({_RESPONSE}, '^\\s+|\\s+$', '', 'g'), chr(10))[1] AS line FROM documents),
         p AS (SELECT doc_id,
                 TRY_CAST(regexp_extract(line, 'Relevancy_score\\s*=\\s*([\\d.]+)', 1) AS DOUBLE) AS score,
                 regexp_extract(line, 'Reasons\\s*=\\s*\\[(.+)\\]', 1) AS reasons FROM r)
@@ -202,11 +205,11 @@ def build_prompts(spark, sf_dir):
           FROM counted JOIN frequencies USING (term)),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) AS rank
           FROM weighted)
-        SELECT doc_id, string_agg(term, ' ' ORDER BY first_pos) AS topics
-        FROM ranked WHERE rank <= 10 GROUP BY doc_id""",
+        SELECT doc_id, coalesce(string_agg(term, ' ' ORDER BY first_pos), '') AS topics
+        FROM documents LEFT JOIN ranked USING (doc_id) WHERE coalesce(rank, 1) <= 10 GROUP BY doc_id""",
 )
 def topics(spark, sf_dir):
-    return extract_topics(I.cleaned(spark, sf_dir, hashed=True), 10, "doc_id", "readme")
+    return extract_topics(I.cleaned(spark, sf_dir), 10, "doc_id", "readme")
 
 
 def _sql_language(text: str) -> str:
@@ -244,9 +247,22 @@ def routes(spark, sf_dir):
     return route_language(docs).groupBy("route", "language_id").agg(F.count("*").alias("documents"))
 
 
-@query("hash_embeddings")
+@query(
+    "hash_embeddings",
+    f"""WITH split AS (SELECT doc_id, unnest({I.sql_terms('text')}) AS term FROM documents),
+        counted AS (SELECT doc_id, CAST(CAST('0x' || md5(term)[1:4] AS INTEGER) % 1024 AS INTEGER) AS pos,
+          count(*) AS tf FROM split GROUP BY ALL),
+        weights AS (SELECT pos, ln(((SELECT count(*) FROM documents) + 1.0::DOUBLE) / (count(*) + 1.0::DOUBLE)) AS idf
+          FROM counted GROUP BY pos),
+        raw AS (SELECT doc_id, pos, tf * idf AS x FROM counted JOIN weights USING (pos)),
+        norms AS (SELECT doc_id, sqrt(sum(x * x)) AS norm FROM raw GROUP BY doc_id)
+        SELECT doc_id, pos, round(CASE WHEN norm = 0 THEN x ELSE x / norm END, 6) + 0 AS value
+        FROM raw JOIN norms USING (doc_id)""",
+)
 def embeddings(spark, sf_dir):
-    return hash_embeddings(I.texts(spark, sf_dir))
+    vectors = hash_embeddings(I.texts(spark, sf_dir))
+    values = vectors.select("doc_id", F.explode(F.arrays_zip("positions", "values")).alias("x"))
+    return values.select("doc_id", F.col("x.positions").alias("pos"), F.round("x.values", 6).alias("value"))
 
 
 # --- licenses ---------------------------------------------------------------

@@ -93,16 +93,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def spread(df: DataFrame, key: str, hashed: bool = False) -> DataFrame:
+def spread(df: DataFrame, key: str) -> DataFrame:
     """Hash ``df`` over the cluster by a unique ``key`` if its scan is too narrow.
 
     A small file with one row group arrives as one partition, which would run
     the text work on a single core. A scan of a large table already has many
     splits and is left alone, so nothing is shuffled there; what is shuffled is
-    never more than four splits per core. Rows are ``hashed`` in any case if
-    groupings by ``key`` follow that would shuffle more.
+    never more than four splits per core.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < 4 * cores:
         return df.repartition(cores, key)
-    return df.repartition(key) if hashed else df
+    return df

@@ -1,6 +1,6 @@
 """Readers with explicit schemas."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,9 +36,26 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_legacy_csv(spark: SparkSession, path: str) -> DataFrame:
-    """The legacy result file; header rows repeated inside it are skipped."""
-    rows = _csv(spark, LEGACY_CSV_SCHEMA).csv(path)
-    return rows.filter(F.col("repo_url") != "repo_url")
+    """The legacy result files, with ``seq`` in the order of the rows in them.
+
+    Files follow each other by name. Header rows repeated inside them are
+    skipped, and empty fields are empty texts.
+    """
+    names = LEGACY_CSV_SCHEMA.names
+    rows = _csv(spark, LEGACY_CSV_SCHEMA).csv(path).select(
+        *[F.coalesce(c, F.lit("")).alias(c) for c in names],
+        F.col("_metadata.file_path").alias("file"),
+        # A file is read by one task from beginning to end.
+        F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("place"),
+    )
+    # One row per file.
+    files = rows.select("file").distinct().withColumn(
+        "file_seq", F.row_number().over(Window.orderBy("file")).cast("long") - 1
+    )
+    numbered = rows.join(files, "file").withColumn(
+        "seq", F.shiftleft("file_seq", 33).bitwiseOR(F.col("place"))
+    )
+    return numbered.filter(F.col("repo_url") != "repo_url").select(*names, "seq")
 
 
 def read_export_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -68,13 +85,24 @@ def read_source_tree(
 ) -> DataFrame:
     """Files of the given directories and endings, as ``(path, text)``.
 
-    ``path`` is relative to the root that was read.
+    ``path`` is relative to the root. Only files of those folders and endings
+    are listed and opened.
     """
+    wanted = [f"{path.rstrip('/')}/{d.strip('/')}" for d in directories]
+    wanted = [place for place in wanted if path_exists(spark, place)]
+    if not wanted or not extensions:
+        return spark.createDataFrame([], "path string, text string")
     root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     qualified = root.getFileSystem(
         spark.sparkContext._jsc.hadoopConfiguration()
     ).makeQualified(root).toString().rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    endings = "{" + ",".join(f"*{e}" for e in extensions) + "}"
+    files = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", endings)
+        .load(wanted)
+    )
     relative = files.select(
         F.substr("path", F.lit(len(qualified) + 2)).alias("path"), "content"
     )

@@ -42,6 +42,11 @@ def write_report(lines: DataFrame, order: list[str], folder: str) -> None:
     lines.orderBy(*order).select("line").write.mode("overwrite").text(folder)
 
 
+def write_url_list(rows: DataFrame, url: str, order: str, folder: str) -> None:
+    """The URLs of ``rows``, such as those dropped as duplicates, a line each in ``order``."""
+    rows.orderBy(order).select(F.col(url).cast("string").alias("line")).write.mode("overwrite").text(folder)
+
+
 def report_name(source: str, report_prefix: str, source_prefix: str = "filtered_readme_repos_") -> str:
     """The report's name for a result file: ending and prefix exchanged."""
     stem = source.rsplit(".", 1)[0] if "." in source.rsplit("/", 1)[-1] else source

@@ -91,9 +91,11 @@ def ingest_sightings(
 
     def save(rows: DataFrame, batch_id: int) -> None:
         rows = rows.persist()
-        _write_batch(rows, f"{folder}/history", batch_id)
-        _write_batch(first_sightings(rows, order), f"{folder}/sightings", batch_id)
-        rows.unpersist()
+        try:
+            _write_batch(rows, f"{folder}/history", batch_id)
+            _write_batch(first_sightings(rows, order), f"{folder}/sightings", batch_id)
+        finally:
+            rows.unpersist()
 
     return _run(stream, checkpoint, save)
 
@@ -113,8 +115,9 @@ def history_view(spark: SparkSession, folder: str, schema: T.StructType) -> Data
 def compact(
     spark: SparkSession, folder: str, target: str, schema: T.StructType, order: list[str]
 ) -> None:
-    """The catalog written as the first batch of a new folder."""
+    """The catalog, and the whole history, written as the first batch of a new folder."""
     _write_batch(catalog_view(spark, folder, schema, order), f"{target}/sightings", -1)
+    _write_batch(history_view(spark, folder, schema).drop("batch_id"), f"{target}/history", -1)
 
 
 def running_keywords(stream: DataFrame, order: list[str]) -> DataFrame:

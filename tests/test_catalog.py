@@ -79,9 +79,10 @@ def test_nulls_last_both_ways(spark):
 def test_detail_view_of_one_repository(spark):
     catalog = spark.createDataFrame([(1, "h/o/a"), (2, "h/o/b")], "id long, url string")
     activity = spark.createDataFrame(
-        [(1, "open", "x"), (1, "closed", "x"), (1, "merged", "y")], "id long, state string, contributor string"
+        [(1, "issue", "open", "x"), (1, "pull", "closed", "x"), (1, "pull", "merged", "y")],
+        "id long, kind string, state string, contributor string",
     )
-    assert rows_of(C.repo_detail_view(catalog, activity, "o/a")) == [(1, "h/o/a", "o/a", 1, 1, 3, 2)]
+    assert rows_of(C.repo_detail_view(catalog, activity, "o/a")) == [(1, "h/o/a", "o/a", 1, 1, 2, 2)]
     assert rows_of(C.repo_detail_view(catalog, activity, "o/b")) == [(2, "h/o/b", "o/b", 0, 0, 0, 0)]
 
 
@@ -110,7 +111,7 @@ def test_topics_and_language(spark):
         [(1, "rare word and common common"), (2, "common text"), (3, "")], "id long, readme string"
     )
     got = dict(rows_of(extract_topics(docs, 3)))
-    assert got == {1: "rare and common", 2: "common text"}
+    assert got == {1: "rare and common", 2: "common text", 3: ""}
     texts = spark.createDataFrame([("The end of the day",), ("der und die",), ("xyz",)], "text string")
     routed = {r.text: (r.language_id, r.route) for r in route_language(texts).collect()}
     assert routed == {

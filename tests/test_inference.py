@@ -1,9 +1,9 @@
+import hashlib
 import math
 from collections import Counter
 
 import pandas as pd
 import pytest
-from pyspark.ml.feature import HashingTF
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,18 +34,20 @@ def test_infer_other_types(spark):
 
 
 def test_hash_embeddings_equal_brute_force(spark):
-    texts = ["spark join spark", "join plan", ""]
+    texts = ["spark join spark", "join plan", "", None]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    place = {w: HashingTF(numFeatures=64).indexOf(w) for w in ("spark", "join", "plan")}
+    place = {w: int(hashlib.md5(w.encode()).hexdigest()[:4], 16) % 64 for w in ("spark", "join", "plan")}
     assert len(set(place.values())) == 3
     df = {"spark": 1, "join": 2, "plan": 1}
-    got = {r.doc_id: r.embedding for r in M.hash_embeddings(docs, dimensions=64).collect()}
+    vectors = M.hash_embeddings(docs, dimensions=64)
+    got = {r.doc_id: r for r in vectors.select("*", M.dense("positions", "values", 64).alias("dense")).collect()}
     for i, text in enumerate(texts):
         vector = [0.0] * 64
-        for word, n in Counter(text.split()).items():
-            vector[place[word]] = n * math.log(4 / (1 + df[word]))
+        for word, n in Counter((text or "").split()).items():
+            vector[place[word]] = n * math.log(5 / (1 + df[word]))
         length = math.sqrt(sum(x * x for x in vector)) or 1.0
-        assert got[i] == pytest.approx([x / length for x in vector])
+        assert got[i].dense == pytest.approx([x / length for x in vector])
+        assert got[i].positions == sorted({place[w] for w in (text or "").split()})
 
 
 def test_prompts(spark):

@@ -7,10 +7,6 @@ from repoatlas.plans.registry import ORACLE, QUERIES
 from tests.compare import difference, duck
 from tests.conftest import SMALL
 
-# Encoders have no SQL form; test_inference checks them by hand.
-NO_SQL = {"hash_embeddings"}
-
-
 @pytest.fixture(scope="module")
 def connection():
     return duck(SMALL)
@@ -21,8 +17,8 @@ def test_matches_sql(spark, connection, name):
     assert difference(entry.queries()[name](spark, SMALL), connection, entry.oracle_sql()[name]) is None
 
 
-def test_all_but_encoders_have_sql():
-    assert set(QUERIES) - set(ORACLE) == NO_SQL
+def test_all_queries_have_sql():
+    assert set(QUERIES) == set(ORACLE)
 
 
 def test_entry_has_rows(spark):

@@ -2,19 +2,20 @@
 
 import pytest
 
-import __spark_entry__ as entry
+import __spark_entry__  # noqa: F401
+from repoatlas.plans.registry import QUERIES
 from tests.conftest import SMALL
 
-STREAMED = {n for n in entry.queries() if n.startswith("stream_")}
+STREAMED = {n for n in QUERIES if n.startswith("stream_")}
 PYTHON = {"lead3_summary", "classify_embedding", "knn_topk"}
 
 
 def plan(spark, name: str) -> str:
-    df = entry.queries()[name](spark, SMALL)
+    df = QUERIES[name](spark, SMALL)
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - STREAMED))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - STREAMED))
 def test_no_cross_join_and_no_python_where_not_needed(spark, name):
     text = plan(spark, name)
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
