@@ -11,6 +11,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 # How a line of prose may end, marks in closing quotes included.
 LINE_END = "[.!?…。！？:;][\"'’”»)\\]]*+$"
+# How a sentence ends inside a line.
+SENTENCE_END = r"[.!?…。！？][\x20\x09]"
 # Marks that decorate or separate rather than punctuate.
 DECORATION = r"[#*$%&|<>!~=_^]"
 # Separators of menus and trails of links.
@@ -37,6 +39,8 @@ BOILERPLATE = (
     "this site uses cookies",
 )
 
+# A line that ends unlike prose passes with a sentence's end for so many words.
+MAX_SENTENCE_WORDS = 60
 # A line with more decoration per word than this fails.
 MAX_DECORATION_PER_WORD = 0.5
 # A line with so many separators, and one for so many words at least, is navigation.
@@ -55,8 +59,11 @@ def words_of(text: Column) -> Column:
 
 
 def line_fails_punctuation(line: Column) -> Column:
-    """It does not end like a sentence, or is decorated rather than punctuated."""
-    return ~line.rlike(LINE_END) | (
+    """It neither ends like a sentence nor holds some, or is decorated rather than punctuated."""
+    unfinished = ~line.rlike(LINE_END) & (
+        F.regexp_count(line, F.lit(SENTENCE_END)) * MAX_SENTENCE_WORDS < _line_words(line)
+    )
+    return unfinished | (
         F.regexp_count(line, F.lit(DECORATION)) > MAX_DECORATION_PER_WORD * _line_words(line)
     )
 

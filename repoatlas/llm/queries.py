@@ -23,8 +23,10 @@ from repoatlas.llm.quality_rules import (
     MAX_DECORATION_PER_WORD,
     MAX_LOSS,
     MAX_REPEAT_PERCENT,
+    MAX_SENTENCE_WORDS,
     MIN_SEPARATORS,
     MIN_WORDS,
+    SENTENCE_END,
     SEPARATORS,
     SPACE,
     SYMBOLS,
@@ -96,9 +98,11 @@ QUALITY_SQL = f"""
     trimmed AS (SELECT r, regexp_replace(line, '^{SPACE}|{SPACE}$', '', 'g') AS line FROM lines),
     counted AS (SELECT *, len(string_split_regex(line, '{SPACE}')) AS words,
                        len(regexp_extract_all(line, '{DECORATION}')) AS decorated,
+                       len(regexp_extract_all(line, '{SENTENCE_END}')) AS sentences,
                        len(regexp_extract_all(line, '{SEPARATORS}')) AS separators FROM trimmed),
     passed AS (SELECT r, sum(len(regexp_replace(line, '{SPACE}', '', 'g'))) AS n FROM counted
-               WHERE line = '' OR NOT (NOT regexp_matches(line, '{LINE_END.replace("*+", "*").replace("'", "''")}')
+               WHERE line = '' OR NOT ((NOT regexp_matches(line, '{LINE_END.replace("*+", "*").replace("'", "''")}')
+                      AND sentences * {MAX_SENTENCE_WORDS} < words)
                      OR decorated > {MAX_DECORATION_PER_WORD} * words
                      OR (separators >= {MIN_SEPARATORS} AND separators * {WORDS_PER_SEPARATOR} >= words)
                      OR regexp_matches(lower(line), '{"|".join(BOILERPLATE)}')) GROUP BY r),
