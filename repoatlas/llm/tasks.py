@@ -56,10 +56,9 @@ def map_texts(
     """The columns ``keep`` of ``docs`` and the ``fields`` made from its texts.
 
     ``start`` is called once per task and returns the function that is given a
-    list of texts. That returns the values of each field as a list, for a row
-    per text; or, before them, the list of the texts' numbers that each row
-    belongs to, if a text may have any number of rows (``one_to_many`` fields
-    then start with ``None``).
+    list of texts. That returns a list of values for each field, with a value
+    per text. If a text may have any number of rows, it returns one list more,
+    before the others: the number of the text that each row belongs to.
     """
     ship_package(docs.sparkSession)
     rows = docs.select(*keep, text)

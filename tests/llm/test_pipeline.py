@@ -1,0 +1,91 @@
+import collections
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+import corpus_pipeline
+from tests.conftest import SMALL
+from tests.llm import brute
+from tests.llm.conftest import AWKWARD
+
+
+def _redacted(text):
+    names, parts, end = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]"), [], 0
+    for start, kind, stop in brute.base_spans(text):
+        if start >= end:
+            parts += [text[end:start], names[kind]]
+        end = max(end, stop)
+    return "".join(parts) + text[end:]
+
+
+def _kept(texts):
+    """Smallest id of each exact group, then of each near group of those."""
+    first = {}
+    for i in sorted(texts):
+        first.setdefault((texts[i] or "").translate(brute.LOW), i)
+    left = {i: texts[i] for i in first.values()}
+    roots = brute.components({i: brute.fingerprint(t) for i, t in left.items()})
+    return {i: t for i, t in left.items() if roots[i] == i}
+
+
+def test_run_matches_brute_force(spark, texts):
+    rows = entry.queries()["pipeline"](spark, SMALL).collect()
+    # All documents of this table have a language and no context marks an identifier.
+    kept = {i: _redacted(t) for i, t in _kept(texts).items()}
+    brute.check_packing(rows, kept)
+
+
+def test_stages_are_the_operators(spark):
+    names = [name for name, _ in corpus_pipeline.STAGES]
+    assert names == ["language_id", "exact_dedup", "simhash_near_dedup", "pii", "best_fit_packing"]
+    assert corpus_pipeline.ORACLE_SQL is None
+
+
+@pytest.fixture
+def folder(spark, tmp_path):
+    def write(df):
+        df.write.parquet(str(tmp_path / "documents.parquet"))
+        return str(tmp_path)
+
+    return write
+
+
+PROSE = {
+    "en": "The river ran past the old mill and the children played on the stones near the water every day of that summer.",
+    "de": "Der Fluss floss an der alten Mühle vorbei und die Kinder spielten jeden Tag des Sommers auf den Steinen am Wasser.",
+}
+
+
+def test_decisions_take_effect(spark, table, folder):
+    rows = [(i, f"{PROSE['en']} Chapter {i} of the book.", "en") for i in range(1, 40)]
+    rows += [(i, f"{PROSE['de']} Kapitel {i} des Buches.", "de") for i in range(40, 80)]
+    rows += [(100, "1234 5678 !!", "en"), (101, None, "en"), (102, rows[0][1].upper(), "en")]
+    rows += [(103, PROSE["en"] + " Write to ann@example.com today, please do.", "en")]
+    docs, counts = spark.read.parquet(folder(table(rows)) + "/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, "").collect(), docs.schema)
+        counts.append(docs.count())
+    ids = {r.doc_id: r for r in docs.collect()}
+    assert counts[0] == 81 and 100 not in ids and 101 not in ids
+    assert counts[1] == 80 and 102 not in ids
+    roots = brute.components({i: brute.fingerprint(t) for i, t, _ in rows if i not in (100, 101, 102)})
+    assert set(ids) == set(roots.values()) and counts[2] == counts[3] == len(set(roots.values()))
+    assert "[EMAIL]" in ids[103].text and ids[103].n_chars == len(ids[103].text)
+    assert docs.columns == table([]).columns
+
+
+def test_awkward_and_empty_tables(spark, awkward, empty, folder, tmp_path):
+    rows = corpus_pipeline.run(spark, folder(awkward)).collect()
+    known = collections.Counter(r.doc_id for r in rows if r.piece == 0)
+    # Texts of letters stay, one of each group; which, the operators say.
+    assert known[6] == 1 and known[8] == 1 and known[7] == 0 and known[2] == 0
+    assert len(AWKWARD) > sum(known.values())
+    empty.write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_every_query_reads_whole_tables(spark):
+    rows = duckdb.sql(f"SELECT count(*) FROM '{SMALL}/documents.parquet'").fetchall()[0][0]
+    for name in ("op1_quality_rules", "op2_bootstrapped_pii", "op6_exact_dedup", "op8_jump_sharding", "op10_simhash"):
+        assert entry.queries()[name](spark, SMALL).count() == rows
