@@ -1,5 +1,7 @@
 """Session settings, shared-folder checkpoints and scan parallelism."""
 
+import atexit
+import contextlib
 import os
 import re
 import tempfile
@@ -48,13 +50,19 @@ def use_checkpoint_folder(spark: SparkSession) -> str:
         if shared is None and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="repoatlas-"))
-    return context.getCheckpointDir()
+    folder = context.getCheckpointDir()
+    # Spark has made it for this application alone.
+    if getattr(context, "_repoatlas_folder", None) != folder:
+        context._repoatlas_folder = folder
+        _delete_at_exit(spark, folder)
+    return folder
 
 
-def written(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written once as a Parquet table in the checkpoint folder, and read back.
 
-    Like ``cut_lineage``, for tables of which later steps need a few columns.
+    Later steps then see one fixed set of rows, also after an executor is lost,
+    and read only the columns they need.
     """
     spark = df.sparkSession
     place = f"{use_checkpoint_folder(spark)}/tables/{uuid.uuid4().hex}"
@@ -62,6 +70,22 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(place)
 
 
+written = cut_lineage
+
+
+def _delete_at_exit(spark: SparkSession, folder: str) -> None:
+    """Deletes this application's own checkpoint folder when the program ends."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def delete() -> None:
+        # The JVM may be gone already.
+        with contextlib.suppress(Exception):
+            files.delete(path, True)
+
+    atexit.register(delete)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Sends this package to the Python workers, once per application.
 
@@ -83,16 +107,6 @@ def ship_package(spark: SparkSession) -> None:
     context._repoatlas_shipped = True
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written once to the checkpoint folder and read back from there.
-
-    Later steps then see one fixed set of rows and partitions, also after an
-    executor is lost.
-    """
-    use_checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Hash ``df`` over the cluster by a unique ``key`` if its scan is too narrow.
 
