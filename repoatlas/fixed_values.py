@@ -82,16 +82,16 @@ MAX_MODEL_CHARS = 10000
 
 # --- fixed values: text patterns -------------------------------------------
 # Character classes list single characters below 256 on purpose: the JVM tests
-# those by one table look-up, but every range or predefined class by a call.
+# those by one table look-up, but every range or predefined class by a call
+# (cleaning 30,000 texts took 1.0-1.6 s against 8.5-9.6 s with ranges and \\s).
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
-LOWER_CASE = "abcdefghijklmnopqrstuvwxyz"
 DIGITS = "0123456789"
 # White space as Python's str.split() and \s know it: below 256, and above.
 SPACES = r"\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0"
 WIDE_SPACES = "\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 CODE_FENCE = r"(?s)```.*?```"
 NOT_PLAIN_ENGLISH = f"[^{LETTERS}{DIGITS}.,!?{SPACES}]+"
-TFIDF_TOKEN = f"[{LOWER_CASE}{DIGITS}_]{{2,}}"
+TFIDF_TOKEN = "[a-z0-9_]{2,}"
 WORD_OR_SYMBOL = rf"[{LETTERS}{DIGITS}_]+|[^{LETTERS}{DIGITS}_ \t\n\x0b\x0c\r]"
 LANGUAGE_SEPARATOR = "| "
 KEYWORD_SEPARATOR = "|"

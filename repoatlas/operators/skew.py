@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from repoatlas.session import cut_lineage
 
-# A lookup of no more rows than this is sent to every task.
+# A lookup of no more rows and bytes than these is sent to every task.
 MAX_BROADCAST_ROWS = 10_000
+MAX_BROADCAST_BYTES = 8 << 20
 # At most this many keys can each hold more than 1/MAX_HOT_KEYS of all rows.
 MAX_HOT_KEYS = 1000
 
@@ -22,14 +23,16 @@ def lookup_join(
     """``facts`` with the columns of ``lookup``, which has one row per ``key``.
 
     The lookup is read several times, so pass one that is computed already (see
-    ``cut_lineage``). It is counted, and a small one is broadcast. Beyond that
+    ``cut_lineage``). Its rows and bytes are counted, and a small one is
+    broadcast. Beyond that
     ``weight``, its count of fact rows per key, tells the hot keys: those that
     hold more than a thousandth of all rows, so no more than a thousand can be
     hot and only they are broadcast. Rows of all other keys meet their lookup
     row by a shuffled join; in it the hot rows are scattered by ``spread_by``,
     a column with many values.
     """
-    if lookup.count() <= max_broadcast_rows:
+    held = lookup.agg(F.count("*").alias("n"), F.sum(_row_bytes(lookup)).alias("bytes")).first()
+    if held["n"] <= max_broadcast_rows and (held["bytes"] or 0) <= MAX_BROADCAST_BYTES:
         own = [c for c in lookup.columns if c != key]
         return facts.join(F.broadcast(lookup), key, "left").select(*facts.columns, *own)
     total = lookup.agg(F.sum(weight)).scalar()
@@ -51,6 +54,20 @@ def lookup_join(
     return joined.select(*facts.columns, *merged)
 
 
+def _row_bytes(rows: DataFrame):
+    """About how many bytes a row takes."""
+    total = F.lit(16)
+    for field in rows.schema:
+        kind = field.dataType.typeName()
+        if kind in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(field.name), F.lit(0))
+        elif kind in ("array", "map"):
+            total = total + 16 * F.greatest(F.coalesce(F.size(field.name), F.lit(0)), F.lit(0))
+        else:
+            total = total + 8
+    return total.cast("long")
+
+
 def number_rows(rows: DataFrame, order: list, group: str | None = None) -> DataFrame:
     """``rows`` with ``position``, counted from 0 in ``order`` (in each group).
 
