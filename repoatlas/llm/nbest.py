@@ -9,6 +9,7 @@ segmentations in order of their cost.
 import heapq
 import zlib
 from array import array
+from collections.abc import Iterable, Iterator
 from itertools import islice
 
 from pyspark.sql import DataFrame
@@ -41,35 +42,62 @@ def _arcs(word: str, end: int, pieces: Vocabulary) -> list[tuple[int, int]]:
     return found
 
 
-def forward(word: str, pieces: Vocabulary) -> tuple[list[int], list[int], int | None]:
-    """Viterbi: cost to every place, start of the best piece there, and what the second best way costs."""
-    cost_of, longest, unknown = pieces.cost.get, pieces.longest, pieces.unknown_cost
+def forward_all(words: Iterable[str], pieces: Vocabulary) -> Iterator[tuple[str, list[int], list[int], int | None]]:
+    """Viterbi over each word, in sorted order: see ``forward``.
+
+    What holds for the beginning of a word holds for the next word that shares
+    it, so it is kept. The lists are good until the next word.
+    """
+    begins, unknown = pieces.begins, pieces.unknown_cost
     cost, back = [0], [0]
     # Cost of the second best way to every place; none is as good as endless.
     second = [ENDLESS]
-    for end in range(1, len(word) + 1):
-        # A character of no piece is its bytes.
-        single = cost_of(word[end - 1])
-        if single is None:
-            single = unknown
-        came = end - 1
-        best, runner = cost[came] + single, second[came] + single
-        for start in range(max(0, end - longest), end - 1):
-            own = cost_of(word[start:end])
-            if own is None:
-                continue
-            found = cost[start] + own
-            if found < best:
-                best, runner, came = found, best, start
-            elif found < runner:
-                runner = found
-            found = second[start] + own
-            if found < runner:
-                runner = found
-        cost.append(best)
-        back.append(came)
-        second.append(runner)
-    return cost, back, None if second[-1] >= ENDLESS else second[-1]
+    # Places from where a piece may still reach beyond.
+    open_at: list[list[int]] = [[]]
+    last = ""
+    for word in sorted(words):
+        shared = 0
+        for a, b in zip(word, last):
+            if a != b:
+                break
+            shared += 1
+        for held in (cost, back, second, open_at):
+            del held[shared + 1 :]
+        for end in range(shared + 1, len(word) + 1):
+            came = end - 1
+            single = begins.get(word[came:end], ENDLESS)
+            still = []
+            # A character of no piece is its bytes.
+            own = unknown if single is None or single == ENDLESS else single
+            best, runner = cost[came] + own, second[came] + own
+            for start in open_at[came]:
+                own = begins.get(word[start:end], ENDLESS)
+                if own == ENDLESS:
+                    continue
+                still.append(start)
+                if own is None:
+                    continue
+                found = cost[start] + own
+                if found < best:
+                    best, runner, came = found, best, start
+                elif found < runner:
+                    runner = found
+                found = second[start] + own
+                if found < runner:
+                    runner = found
+            if single != ENDLESS:
+                still.append(end - 1)
+            cost.append(best)
+            back.append(came)
+            second.append(runner)
+            open_at.append(still)
+        yield word, cost, back, None if second[-1] >= ENDLESS else second[-1]
+        last = word
+
+
+def forward(word: str, pieces: Vocabulary) -> tuple[list[int], list[int], int | None]:
+    """Viterbi: cost to every place, start of the best piece there, and what the second best way costs."""
+    return next(forward_all([word], pieces))[1:]
 
 
 def best_pieces(word: str, back: list[int]) -> list[str]:
@@ -121,10 +149,6 @@ class NBestCoder:
         self.pieces = pieces
         self.known: dict[str, tuple[bytes, int, int | None]] = {}
 
-    def _best(self, word: str) -> tuple[bytes, int, int | None]:
-        cost, back, second = forward(word, self.pieces)
-        return self._ids(best_pieces(word, back)), cost[-1], None if second is None else second - cost[-1]
-
     def split(self, texts: list[str | None]) -> tuple[list[list[str]], dict[str, tuple[bytes, int, int | None]]]:
         """The pre-tokens of each text, and the entries of those not kept."""
         split = [pre_tokens(t) if t else [] for t in texts]
@@ -132,8 +156,10 @@ class NBestCoder:
             # Common words came first.
             self.known = dict(islice(self.known.items(), CACHED_WORDS // 2))
         once = {}
-        for word in set().union(*split) - self.known.keys() if split else ():
-            (self.known if len(word) <= CACHED_CHARS else once)[word] = self._best(word)
+        missing = set().union(*split) - self.known.keys() if split else set()
+        for word, cost, back, second in forward_all(missing, self.pieces):
+            entry = self._ids(best_pieces(word, back)), cost[-1], None if second is None else second - cost[-1]
+            (self.known if len(word) <= CACHED_CHARS else once)[word] = entry
         return split, once
 
     def encode(self, texts: list[str | None], n: int = N_BEST) -> list[list[tuple[int, bytes]]]:

@@ -42,6 +42,9 @@ class Vocabulary:
         self.cost = {n: round(UNIT * float(np.log((r + ZIPF_OFFSET) * norm))) for n, r in ranks.items()}
         self.unknown_cost = max(self.cost.values()) + UNKNOWN_PENALTY
         self.longest = max(map(len, self.ids))
+        # Cost of every beginning of a piece; those that are no piece have none.
+        self.begins: dict[str, int | None] = {n[:k]: None for n in self.cost for k in range(1, len(n))}
+        self.begins |= self.cost
         # Text is cut before blanks, which is exact as no piece has one inside.
         if any(BLANK in name.lstrip(BLANK) for name in names):
             raise ValueError("a piece crosses the beginning of a word")
