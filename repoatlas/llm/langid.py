@@ -10,7 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,8 +43,10 @@ SCRIPTS = (
 
 # Letter triples, and words, are counted under one of so many numbers.
 FEATURES = 1 << 17
-# The model is fitted on at most so many documents in all and per language,
-# those of the smallest hash of their id.
+# The model knows the languages with most labelled documents, so many of them,
+# and is fitted on at most so many documents in all and about so many of each
+# language: a share of its documents, by a hash of the id.
+MAX_LANGUAGES = 200
 MAX_DOCS = 20_000
 DOCS_PER_LANGUAGE = 2_000
 # A script belongs to a language if it has this share of its letters.
@@ -217,12 +219,14 @@ def sample_labelled(
         F.col(id_col).alias("chosen_id"),
         F.col(label_col).cast("string").alias("chosen_lang"),
     )
-    rank = F.row_number().over(Window.partitionBy("chosen_lang").orderBy("order", "chosen_id"))
-    # A bounded number of ids and languages, so few enough for any task.
+    common = usable.groupBy(F.col("chosen_lang").alias("common_lang")).agg(F.count("*").alias("labelled"))
+    # A bounded number of languages, and of ids: few enough for any task.
+    common = common.orderBy(F.desc("labelled"), "common_lang").limit(MAX_LANGUAGES)
+    share = F.lit(float(per_language)) / F.col("labelled")
     chosen = (
-        usable.withColumn("rank", rank)
-        .filter(F.col("rank") <= per_language)
-        .orderBy("rank", "order", "chosen_id")
+        usable.join(F.broadcast(common), F.col("chosen_lang") == F.col("common_lang"))
+        .filter(F.pmod("order", F.lit(1 << 31)) < share * (1 << 31))
+        .orderBy("order", "chosen_id")
         .limit(max_docs)
         .select("chosen_id", "chosen_lang")
         .distinct()
