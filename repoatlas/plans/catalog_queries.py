@@ -25,6 +25,7 @@ from repoatlas.sources import readers, writers
 from repoatlas.streaming import ingest
 
 PAGE_SIZE = 30
+SEARCH_PAGE_SIZE = 5
 HEADER = ["url", "license", "relevance", "language"]
 
 
@@ -588,12 +589,12 @@ def run_labels(spark, sf_dir):
     f"""WITH {I.SQL_CATALOG}, found AS (SELECT id, updated_at, row_number() OVER (ORDER BY updated_at DESC, id) - 1 AS n
           FROM catalog WHERE contains(lower(readme), 'that') AND stars_count >= 300
           AND pushed_at >= DATE '{I.AS_OF}' - 183)
-        SELECT id, strftime(updated_at, '%Y-%m-%d') AS updated_at FROM found WHERE n // {PAGE_SIZE} = 1""",
+        SELECT id, strftime(updated_at, '%Y-%m-%d') AS updated_at FROM found WHERE n // {SEARCH_PAGE_SIZE} = 1""",
 )
 def catalog_search_page(spark, sf_dir):
     """The second page of a search, newest first: a page is what is asked for."""
     rows = I.catalog(spark, sf_dir, wide=True)
-    found = C.catalog_search(rows, "that", 300, 183, I.AS_OF, page=1, page_size=PAGE_SIZE)
+    found = C.catalog_search(rows, "that", 300, 183, I.AS_OF, page=1, page_size=SEARCH_PAGE_SIZE)
     return found.select("id", _day("updated_at"))
 
 
