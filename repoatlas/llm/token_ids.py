@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 
 WORD_BPE = "word_bpe_49k.json"
 # Words kept with their ids per Python worker, and the longest that is kept.
-CACHED_WORDS = 800_000
+CACHED_WORDS = 500_000
 CACHED_CHARS = 48
 
 # White space as the tokenizer's rules have it. str.split() also cuts at the
