@@ -1,5 +1,8 @@
 """Keyword roll-up, first-write-wins upsert and history."""
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,17 +55,22 @@ def first_sightings(sightings: DataFrame, order: list[str]) -> DataFrame:
     """Per ``id`` its earliest full row, with all its keywords rolled up."""
     # Ids and order columns alone tell the first row; it is unique by them.
     firsts = sightings.groupBy("id").agg(F.min(F.struct(*order)).alias("first_seen"))
-    firsts = firsts.select("id", *[F.col("first_seen")[c].alias(c) for c in order])
-    first = sightings.join(firsts, ["id", *order], "left_semi").dropDuplicates(["id"])
+    firsts = firsts.select(
+        F.col("id").alias("first_id"), *[F.col("first_seen")[c].alias(f"first_{c}") for c in order]
+    )
+    # An id or order column may be null.
+    same = reduce(and_, [sightings[c].eqNullSafe(firsts[f"first_{c}"]) for c in ("id", *order)])
+    first = sightings.join(firsts, same, "left_semi").dropDuplicates(["id"])
     carried = F.array_append(split_keywords("additional_keywords"), F.col("keyword"))
     keywords = (
         sightings.select("id", F.explode(carried).alias("seen"))
         .distinct()
         .groupBy("id")
         .agg(F.collect_set("seen").alias("keywords"))
+        .withColumnRenamed("id", "keywords_id")
     )
     return (
-        first.join(keywords, "id")
+        first.join(keywords, F.col("id").eqNullSafe(F.col("keywords_id")))
         .withColumn("additional_keywords", merge_keywords("keyword", "keywords"))
         .select(*sightings.columns)
     )

@@ -66,3 +66,12 @@ def test_order_of_input_does_not_matter(spark):
     a = U.keyword_rollup(seen.repartition(3), ["ord"])
     b = U.keyword_rollup(seen.orderBy(F.desc("ord")), ["ord"])
     assert rows_of(a) == rows_of(b)
+
+
+def test_first_sightings_with_null_order_and_null_id(spark):
+    seen = spark.createDataFrame(
+        [(1, "u", "b", "", 2), (1, "v", "a", "", None), (2, "x", "c", "", 1), (None, "y", "d", "", 3)],
+        SCHEMA + ", ord int",
+    )
+    got = {r.id: (r.url, r.keyword, r.additional_keywords) for r in U.first_sightings(seen, ["ord"]).collect()}
+    assert got == {1: ("v", "a", "b"), 2: ("x", "c", ""), None: ("y", "d", "")}
