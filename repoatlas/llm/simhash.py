@@ -41,17 +41,24 @@ BLOCK = 1 << 16
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def fingerprint(text: str | None, size: int = SHINGLE_WORDS) -> int:
-    """The SimHash of the text's word shingles as a signed 64-bit number."""
+def shingle_hashes(text: str | None, size: int = SHINGLE_WORDS) -> np.ndarray:
+    """The hashes of the text's shingles of ``size`` words; fewer words are one shingle."""
     words = _WORD.findall(text.encode().lower()) if text else []
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     if len(words) < size:
         shingles = [b" ".join(words)]
     else:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(size))))
     hash64 = xxhash.xxh64_intdigest
-    hashes = np.fromiter((hash64(s, SEED) for s in shingles), np.uint64)
+    return np.fromiter((hash64(s, SEED) for s in shingles), np.uint64)
+
+
+def fingerprint(text: str | None, size: int = SHINGLE_WORDS) -> int:
+    """The SimHash of the text's word shingles as a signed 64-bit number."""
+    hashes = shingle_hashes(text, size)
+    if not len(hashes):
+        return 0
     counts = np.zeros(64, np.int64)
     for start in range(0, len(hashes), BLOCK):
         block = hashes[start : start + BLOCK].view(np.uint8).reshape(-1, 8)

@@ -2,8 +2,9 @@ import collections
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from repoatlas.llm import components, exact_dedup, queries, simhash
+from repoatlas.llm import components, exact_dedup, near_copies, queries, simhash
 from tests.compare import difference, duck
 from tests.conftest import SMALL
 from tests.llm import brute
@@ -112,3 +113,57 @@ def test_components_of_chains_stars_and_cycles(spark):
     for group in (range(201), range(1000, 1300), range(5000, 5050)):
         assert len({got[i] for i in group}) == 1
     assert len(set(got.values())) == 3
+
+
+def _shingles(text):
+    words = brute.WORD.findall((text or "").translate(brute.LOW))
+    return {" ".join(words[i : i + 5]) for i in range(len(words) - 4)} or {" ".join(words)}
+
+
+def _alike(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_of_every_similarity(table):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    rows, groups = [], {}
+    for group in range(40):
+        base = [rng.choice(words) for _ in range(200)]
+        groups[group * 10] = base
+        rows.append((group * 10, " ".join(base)))
+        for copy in range(1, 4):
+            changed = list(base)
+            # Each replaced word costs up to five of about 196 shingles.
+            for at in rng.sample(range(0, 200, 6), rng.randint(1, 9)):
+                changed[at] = rng.choice(words)
+            rows.append((group * 10 + copy, " ".join(changed)))
+    sets = {i: _shingles(t) for i, t in rows}
+    parent = {i: i for i in sets}
+    for _ in sets:
+        for a in sets:
+            for b in range(a // 10 * 10, a):
+                if b in sets and _alike(sets[a], sets[b]) >= 0.8:
+                    parent[a] = parent[b] = min(parent[a], parent[b])
+    kept = {r.doc_id for r in near_copies.drop_near_copies(table(rows).repartition(4)).collect()}
+    assert kept == {i for i in sets if parent[i] == i}
+    assert 40 <= len(kept) < 160
+
+
+def test_lists_of_unlike_members_are_compared_whole(table):
+    """Several groups in one list, each linked beyond the list's first member."""
+    texts = [" ".join(f"{g}{i}" for i in range(60)) for g in "abcdef"]
+    docs = table([(k, t) for k, t in enumerate(texts)] + [(10 + k, t + " tail") for k, t in enumerate(texts)])
+    rows = near_copies.signatures(docs, "doc_id", "text", 5).withColumn("bands", F.array(F.lit(1)))
+    sets = rows.select("set_key", "n", "bands", F.struct("id", "text_key").alias("least"), "id").localCheckpoint()
+    roots = {r.node: r.root for r in near_copies._roots(docs, sets, "doc_id", "text", 5, 0.8).collect()}
+    key = {r.id: r.set_key for r in sets.collect()}
+    assert len(set(roots.values())) == 6 and all(roots[key[k]] == roots[key[10 + k]] for k in range(6))
+
+
+def test_near_copies_of_awkward_rows(awkward, empty):
+    kept = near_copies.drop_near_copies(awkward)
+    assert kept.columns == awkward.columns
+    # Nulls and blanks are alike; of null ids one text has words.
+    assert {r.doc_id for r in kept.collect()} == {1, 4, 5, 6, 8, 9, None} and kept.count() == 7
+    assert near_copies.drop_near_copies(empty).collect() == []
