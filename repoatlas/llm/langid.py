@@ -56,7 +56,7 @@ SWITCH_PENALTY = 12.0
 # Weight of the whole word's score beside that of its triples.
 WORD_WEIGHT = 1.0
 SMOOTHING = 0.5
-# Documents of a lower score are rejected where only identified ones are kept.
+# Documents of a lower share of told letters are rejected where only identified ones are kept.
 MIN_SCORE = 0.4
 
 
@@ -204,6 +204,24 @@ def identify(model: Model | None, text: str | None) -> tuple[str, float, list[tu
     return model.languages[best], score, spans
 
 
+def told_share(model: Model, text: str | None) -> float:
+    """The share of the letters of a text whose span has a language, whichever.
+
+    The letters of a span count by the probability of its language against the
+    others over its words. A text without a letter has share 0.
+    """
+    words = Words(text)
+    if not words.n:
+        return 0.0
+    path, scores = model.label(words)
+    letters = (words.ends - words.starts).astype(np.float64)
+    cuts = [0, *(np.flatnonzero(np.diff(path)) + 1)]
+    of_span = np.add.reduceat(scores, cuts, axis=0, dtype=np.float64)
+    own = of_span[np.arange(len(cuts)), path[cuts]]
+    odds = np.exp(np.clip(of_span - own[:, None], -700, 700)).sum(axis=1)
+    return float((np.add.reduceat(letters, cuts) / odds).sum() / letters.sum())
+
+
 def sample_labelled(
     docs: DataFrame, max_docs: int = MAX_DOCS, per_language: int = DOCS_PER_LANGUAGE, id_col: str = "doc_id",
     text_col: str = "text", label_col: str = "lang",
@@ -333,9 +351,10 @@ def keep_identified(
 ) -> DataFrame:
     """``docs``, all columns, without the documents whose language is not told.
 
-    A document goes if it is ``und`` or its score is below ``min_score``: it has
-    no letters, or no language has enough of them. Without a model nothing is
-    known of any language, and nothing goes.
+    A document goes if ``told_share`` is below ``min_score``: it has no letters,
+    or too few of them are in a span of some language. Texts of several
+    languages stay. Without a model nothing is known of any language, and
+    nothing goes.
     """
     if model is None:
         return docs
@@ -347,7 +366,7 @@ def keep_identified(
         for batch in batches:
             at = batch.schema.names.index(text_col)
             for part in slices(batch, at):
-                verdicts = [identify(shared.value, t)[:2] for t in part.column(at).to_pylist()]
-                yield part.filter(pa.array([l != UNDETERMINED and s >= min_score for l, s in verdicts], pa.bool_()))
+                shares = [told_share(shared.value, t) for t in part.column(at).to_pylist()]
+                yield part.filter(pa.array([s >= min_score and s > 0 for s in shares], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema).select(*own)

@@ -114,3 +114,14 @@ def test_quality_of_awkward_rows(spark, awkward, empty):
     assert quality_model.quality_scores(empty, labels).collect() == []
     none = labels.filter("doc_id = -1")
     assert {r.score for r in quality_model.quality_scores(awkward, none).collect()} == {0.5}
+
+
+def test_texts_of_several_languages_are_identified(table):
+    letters = ("abcdefgh", "klmnopqr", "stuvwxyz")
+    prose = [" ".join(a + b + c for a in x for b in x for c in x[:3]) for x in letters]
+    rows = [(i, prose[i % 3] + f" {i}", f"l{i % 3}") for i in range(60)]
+    model = langid.fit(table(rows))
+    mixed = " ".join(prose)
+    assert langid.identify(model, mixed)[1] < 0.4
+    docs = table([(1, mixed), (2, prose[0]), (3, "12 34 !"), (4, None), (5, "")])
+    assert sorted(r.doc_id for r in langid.keep_identified(docs, model).collect()) == [1, 2]
