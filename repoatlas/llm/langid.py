@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from repoatlas.llm.tasks import map_texts, remainder, slices
-from repoatlas.session import ship_package
+from repoatlas.operators.skew import lookup_join
+from repoatlas.session import ship_package, written
 
 UNDETERMINED = "und"
 
@@ -43,12 +44,17 @@ SCRIPTS = (
 
 # Letter triples, and words, are counted under one of so many numbers.
 FEATURES = 1 << 17
-# The model knows the languages with most labelled documents, so many of them,
-# and is fitted on at most so many documents in all and about so many of each
-# language: a share of its documents, by a hash of the id.
-MAX_LANGUAGES = 200
+# The model knows every language that has a labelled document. It is fitted on
+# about so many documents of each, a share of its documents by a hash of the id,
+# or on fewer if all languages would then have more than ``MAX_DOCS``, but on
+# ``LEAST_PER_LANGUAGE`` if there are so many.
 MAX_DOCS = 20_000
 DOCS_PER_LANGUAGE = 2_000
+LEAST_PER_LANGUAGE = 20
+# With more languages than this, features share numbers, so that the counts are
+# bounded by ``FEATURES`` times this, down to ``LEAST_FEATURES`` numbers.
+MAX_LANGUAGES = 200
+LEAST_FEATURES = 1 << 12
 # A script belongs to a language if it has this share of its letters.
 MIN_SCRIPT_SHARE = 0.01
 # Cost of a switch of language between two words, in log units.
@@ -128,8 +134,9 @@ class Model:
 
     def scores(self, words: Words) -> np.ndarray:
         """Score of every word in every language; languages of other scripts have none."""
-        own = np.add.reduceat(self.triples[words.triples], words.first, axis=0)
-        own += WORD_WEIGHT * self.words[words.words]
+        features = len(self.triples)
+        own = np.add.reduceat(self.triples[words.triples % features], words.first, axis=0)
+        own += WORD_WEIGHT * self.words[words.words % features]
         return np.where(self.allowed[words.script], own, -1e6)
 
     def label(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -237,20 +244,30 @@ def sample_labelled(
         F.col(id_col).alias("chosen_id"),
         F.col(label_col).cast("string").alias("chosen_lang"),
     )
-    common = usable.groupBy(F.col("chosen_lang").alias("common_lang")).agg(F.count("*").alias("labelled"))
-    # A bounded number of languages, and of ids: few enough for any task.
-    common = common.orderBy(F.desc("labelled"), "common_lang").limit(MAX_LANGUAGES)
-    share = F.lit(float(per_language)) / F.col("labelled")
+    labelled = written(usable.groupBy("chosen_lang").agg(F.count("*").alias("labelled")))
+    languages = labelled.count()
+    quota = min(per_language, max(max_docs // max(languages, 1), LEAST_PER_LANGUAGE))
+    share = F.lit(float(quota)) / F.col("labelled")
+    # A row per language, and a language may have any share of the rows.
     chosen = (
-        usable.join(F.broadcast(common), F.col("chosen_lang") == F.col("common_lang"))
+        lookup_join(usable, labelled, "chosen_lang", "labelled", "order")
         .filter(F.pmod("order", F.lit(1 << 31)) < share * (1 << 31))
-        .orderBy("order", "chosen_id")
-        .limit(max_docs)
         .select("chosen_id", "chosen_lang")
         .distinct()
     )
+    # Few enough for any task, unless very many languages have their least number.
+    if languages * quota <= 2 * max_docs:
+        chosen = F.broadcast(chosen)
     match = (F.col(id_col) == F.col("chosen_id")) & (F.col(label_col).cast("string") == F.col("chosen_lang"))
-    return docs.join(F.broadcast(chosen), match).select(F.col("chosen_lang").alias("lang"), F.col(text_col).alias("text"))
+    return docs.join(chosen, match).select(F.col("chosen_lang").alias("lang"), F.col(text_col).alias("text"))
+
+
+def bounded_features(languages: int) -> int:
+    """So many numbers of features that all languages' counts stay bounded."""
+    features = FEATURES
+    while features > LEAST_FEATURES and features * languages > FEATURES * MAX_LANGUAGES:
+        features //= 2
+    return features
 
 
 def fit(docs: DataFrame, max_docs: int = MAX_DOCS, per_language: int = DOCS_PER_LANGUAGE, id_col: str = "doc_id",
@@ -258,9 +275,10 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS, per_language: int = DOCS_PER_
     """A model of the languages that occur in ``label_col``; None if there are none.
 
     Features are counted by Spark over the sample; what comes back has at most
-    ``FEATURES`` counts per language and kind.
+    ``bounded_features`` counts per language and kind.
     """
     sample = sample_labelled(docs, max_docs, per_language, id_col, text_col, label_col)
+    features = bounded_features(sample.select("lang").distinct().count())
     spark = docs.sparkSession
     ship_package(spark)
     schema = "lang string, kind int, feature int, n long"
@@ -274,10 +292,9 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS, per_language: int = DOCS_PER_
                     if words.n:
                         found.setdefault(lang, []).append(words)
                 for lang, all_words in found.items():
+                    folded = [[w.triples % features for w in all_words], [w.words % features for w in all_words]]
                     letter_scripts = [np.repeat(w.script, w.ends - w.starts) for w in all_words]
-                    for kind, values in enumerate(
-                        ([w.triples for w in all_words], [w.words for w in all_words], letter_scripts)
-                    ):
+                    for kind, values in enumerate((*folded, letter_scripts)):
                         feature, n = np.unique(np.concatenate(values), return_counts=True)
                         yield pa.RecordBatch.from_arrays(
                             [
@@ -299,7 +316,7 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS, per_language: int = DOCS_PER_
     column = np.array([place[x] for x in counts.column("lang").to_pylist()])
     kind, feature, n = (counts.column(c).to_numpy() for c in ("kind", "feature", "n"))
     tables = []
-    for number, rows in enumerate((FEATURES, FEATURES, len(SCRIPTS) + 1)):
+    for number, rows in enumerate((features, features, len(SCRIPTS) + 1)):
         table = np.zeros((rows, len(languages)))
         own = kind == number
         table[feature[own], column[own]] = n[own]

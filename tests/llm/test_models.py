@@ -125,3 +125,13 @@ def test_texts_of_several_languages_are_identified(table):
     assert langid.identify(model, mixed)[1] < 0.4
     docs = table([(1, mixed), (2, prose[0]), (3, "12 34 !"), (4, None), (5, "")])
     assert sorted(r.doc_id for r in langid.keep_identified(docs, model).collect()) == [1, 2]
+
+
+def test_rare_languages_are_learned(table):
+    rows = [(i, f"word{i % 7} here", f"l{i % 210}") for i in range(2000)] + [(9001, "zzyx qqyx wwyx", "rare")]
+    sample = langid.sample_labelled(table(rows), max_docs=300, per_language=5)
+    assert len({r.lang for r in sample.select("lang").distinct().collect()} & {"rare"}) == 1
+    model = langid.fit(table(rows))
+    # The commonest 200 of 211 would have left out the rarest.
+    assert len(model.languages) == 211 and model.languages.count("rare") == 1
+    assert langid.bounded_features(200) == langid.FEATURES > langid.bounded_features(201)
