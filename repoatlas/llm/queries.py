@@ -14,6 +14,7 @@ from repoatlas.llm import (
     quality_rules,
     sharding,
     simhash,
+    substring_dedup,
     token_counts,
 )
 from repoatlas.llm.quality_rules import (
@@ -146,3 +147,26 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_nbest_pieces")
 def op9_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbest.encoding_report(documents(spark, sf_dir))
+
+
+PASSAGES_SQL = """
+    WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+    w AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM t),
+    grams AS (SELECT doc_id, i, string_agg(word, ' ') OVER f AS gram, count(*) OVER f AS n FROM w
+              WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+    later AS (SELECT doc_id, i, true AS repeats FROM grams WHERE n = 20
+              QUALIFY row_number() OVER (PARTITION BY gram ORDER BY doc_id, i) > 1),
+    marked AS (SELECT doc_id, i, word, coalesce(bool_or(repeats) OVER (PARTITION BY doc_id ORDER BY i
+                      ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), false) AS gone
+               FROM w LEFT JOIN later USING (doc_id, i)),
+    told AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed,
+                    string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM marked GROUP BY doc_id)
+    SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
+           sha256(coalesce(kept, '')) AS kept_sha256
+    FROM documents LEFT JOIN told USING (doc_id)
+"""
+
+
+@query("op13_substring_dedup", PASSAGES_SQL)
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.passage_report(documents(spark, sf_dir))
