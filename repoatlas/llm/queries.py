@@ -5,6 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from repoatlas.llm import (
+    alignment,
     exact_dedup,
     langid,
     nbest,
@@ -149,6 +150,11 @@ def op9_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbest.encoding_report(documents(spark, sf_dir))
 
 
+@query("op12_alignment")
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_report(documents(spark, sf_dir))
+
+
 PASSAGES_SQL = """
     WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
     w AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM t),
