@@ -7,40 +7,55 @@ with the smallest hash. Equal windows have the same anchor at the same place, so
 an index of all anchors, whose blocks are the partitions of a shuffle, holds
 every possible reference, and a document asks just the blocks that can know it.
 
-The index names the first place of each anchor and the phrase there, the words
+The index names an earlier place of each anchor and the phrase there, the words
 up to the end of the next anchor. A document's phrases that continue one and the
 same reference make a factor, however long, and all windows in it are repeats.
-Greedy parsing breaks at the ends of copies, and where an anchor's first place
+Greedy parsing breaks at the ends of copies, and where an anchor's earlier place
 is elsewhere. There, and only there, windows are checked one by one: those with
 a repeated anchor that lie in no factor are grouped by their 128-bit hash. The
 first place of any window is in no factor, so each group has its first place.
+
+Texts that are handed over together know each other's anchors, and only the
+first of each goes to the index. So an anchor of every document, as often as it
+stands, brings the index no more rows than there are such slices of texts.
 """
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from repoatlas.llm.tasks import map_texts, slices, text_of
-from repoatlas.operators.skew import lookup_join
+from repoatlas.llm.tasks import slices, text_of
 from repoatlas.session import ship_package, written
 
 WINDOW = 20
 ANCHOR = 8
+
+# Odd factors of the two rolling hashes.
+_FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_powers: dict[int, np.ndarray] = {}
 # Words kept with their hashes per Python worker, and the longest that is kept.
 KNOWN_WORDS = 300_000
 KNOWN_BYTES = 64
+_UPPER = np.uint64(0xFFFFFFFF00000000)
+_LOWER = np.uint64(0xFFFFFFFF)
 
-_known: dict[bytes, bytes] = {}
-# Odd factors of the two rolling hashes, and their inverses.
-_FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_powers = [np.ones(1, np.uint64) for _ in range(4)]
+
+class _Hashes(dict):
+    """128-bit hashes of words; those of short words are kept."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        found = xxhash.xxh3_128_digest(word)
+        if len(word) <= KNOWN_BYTES:
+            self[word] = found
+        return found
+
+
+_hashes = _Hashes()
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -48,65 +63,57 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
 
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    """Two 64-bit numbers per word, as two rows."""
-    if len(_known) > KNOWN_WORDS:
-        _known.clear()
-    missing = set(words).difference(_known)
-    for word in missing:
-        _known[word] = xxhash.xxh3_128_digest(word)
-    raw = b"".join(map(_known.__getitem__, words))
-    for word in missing:
-        if len(word) > KNOWN_BYTES:
-            del _known[word]
-    return np.frombuffer(raw, "<u8").reshape(-1, 2).T
-
-
-def _power(which: int, count: int) -> np.ndarray:
-    if len(_powers[which]) < count:
-        factor = _FACTORS[which % 2] if which < 2 else pow(_FACTORS[which % 2], -1, 1 << 64)
+def _power(factor: int, count: int) -> np.ndarray:
+    """The first powers of an odd factor, modulo 2**64."""
+    if len(_powers.get(factor, ())) < count:
         steps = np.full(2 * count, factor, np.uint64)
         steps[0] = 1
-        _powers[which] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[which][:count]
+        _powers[factor] = np.cumprod(steps, dtype=np.uint64)
+    return _powers[factor][:count]
 
 
 class Parsed:
     """The words of several texts in a row, with their windows and anchors.
 
     ``begins`` has the place of each text's first word and, last, the number of
-    words. ``starts`` has the windows' places, ``picks`` the place of each one's
-    anchor, ``anchors`` the different places among those.
+    words; ``text_of`` the text of each word. ``starts`` has the windows' places,
+    ``picks`` the place of each one's anchor, ``anchors`` the different places
+    among those.
     """
 
     def __init__(self, texts: list[str | None], window: int, anchor: int):
         split = [words_of(t) for t in texts]
-        self.window = window
-        self.begins = np.concatenate([[0], np.cumsum([len(w) for w in split])]).astype(np.int64)
-        words = [w for ws in split for w in ws]
-        count = len(words)
+        lengths = [len(w) for w in split]
+        self.begins = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+        count = int(self.begins[-1])
+        if len(_hashes) > KNOWN_WORDS:
+            _hashes.clear()
+        raw = b"".join([b"".join(map(_hashes.__getitem__, ws)) for ws in split])
+        hashes = np.frombuffer(raw, "<u8").reshape(-1, 2)
         self.sums = []
-        for which, hashes in enumerate(_word_hashes(words)):
+        for which, factor in enumerate(_FACTORS):
             sums = np.zeros(count + 1, np.uint64)
-            np.cumsum(hashes * _power(which, count), out=sums[1:], dtype=np.uint64)
+            np.cumsum(hashes[:, which] * _power(factor, count), out=sums[1:], dtype=np.uint64)
             self.sums.append(sums)
-        lengths = np.diff(self.begins)
         self.text_of = np.repeat(np.arange(len(texts)), lengths)
-        place = np.arange(count)
-        fits = place + window <= self.begins[1:][self.text_of] if count else np.zeros(0, bool)
-        self.starts = place[fits]
-        if len(self.starts):
-            grams = np.arange(count - anchor + 1)
-            ranks = _mixed(self.hashed(0, grams, grams + anchor))
-            best = sliding_window_view(ranks, window - anchor + 1).argmin(axis=1)
-            self.picks = self.starts + best[self.starts]
-        else:
-            self.picks = self.starts
-        self.anchors = np.unique(self.picks)
+        if count < window:
+            self.starts = self.picks = self.anchors = np.zeros(0, np.int64)
+            return
+        fits = np.arange(count) + window <= np.repeat(self.begins[1:], lengths)
+        self.starts = np.flatnonzero(fits)
+        grams = np.arange(count - anchor + 1)
+        # A hash in the upper half, the place in the lower: the least is the leftmost of ties.
+        least = (_mixed(self.hashed(0, grams, grams + anchor)) & _UPPER) | grams.astype(np.uint64)
+        least = _sliding_least(least, window - anchor + 1)
+        self.picks = (least[self.starts] & _LOWER).astype(np.int64)
+        first = np.ones(len(self.picks), bool)
+        # Places never go back within a text, and texts follow each other.
+        first[1:] = self.picks[1:] != self.picks[:-1]
+        self.anchors = self.picks[first]
 
     def hashed(self, which: int, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """The hash of the words from ``start`` to ``stop``."""
-        inverse = _power(2 + which, len(self.sums[which]))
+        inverse = _power(pow(_FACTORS[which], -1, 1 << 64), len(self.sums[which]))
         return (self.sums[which][stop] - self.sums[which][start]) * inverse[start]
 
 
@@ -115,47 +122,130 @@ def _mixed(numbers: np.ndarray) -> np.ndarray:
     return numbers ^ (numbers >> np.uint64(29))
 
 
+def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of every ``width`` values in a row, by doubling."""
+    reached = 1
+    while 2 * reached <= width:
+        values = np.minimum(values[:-reached], values[reached:])
+        reached *= 2
+    rest = width - reached
+    return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
+
+
+DOC = ["id", "row"]
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
-    """``doc`` and ``text``. Documents are in the order of ``doc``: by id, those without one last.
+    """``id``, ``row`` and ``text``. Documents are in the order of their ids, those without one last.
 
-    Rows that repeat an id and its text are one document.
+    Rows that repeat an id are in the order of ``row``, a hash of their texts;
+    those that repeat the text as well are one document.
     """
-    name = F.struct(
-        F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("row")
+    return docs.select(
+        F.col(id_col).alias("id"), F.hash(text_of(text_col)).alias("row"), F.col(text_col).alias("text"), *more
     )
-    return docs.select(name.alias("doc"), F.col(text_col).alias("text"), *more)
+
+
+def _same_doc(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """Joined by document; an id may be null."""
+    named = right.withColumnsRenamed({c: f"other_{c}" for c in DOC})
+    same = left["id"].eqNullSafe(named["other_id"]) & (left["row"] == named["other_row"])
+    return left.join(named, same, how).drop("other_id", "other_row")
 
 
 def _anchor_rows(rows: DataFrame, window: int, anchor: int) -> DataFrame:
-    """``doc``, ``pos``, ``anchor``, ``phrase`` and ``stop``, the phrase's end, per anchor."""
+    """The anchors of all documents: ``id``, ``row``, ``pos``, ``anchor``, ``phrase`` and its end ``stop``.
+
+    Those that stand earlier in the same slice of texts have that place as
+    ``shift`` and ``reference``, and whether the phrase is the ``same``; their
+    ``anchor`` is a number of their own. Of the others, ``again`` tells that
+    they stand later in the slice too.
+    """
+    ship_package(rows.sparkSession)
+    schema = T.StructType(
+        [*rows.select(*DOC).schema.fields]
+        + T.StructType.fromDDL(
+            "pos int, stop int, anchor long, phrase long, again boolean, reference long, shift int, same boolean"
+        ).fields
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 2):
+                p = Parsed(part.column("text").to_pylist(), window, anchor)
+                at = p.anchors
+                if not len(at):
+                    continue
+                text = p.text_of[at]
+                begin = p.begins[text]
+                # A phrase ends with the next anchor of its text.
+                follows = np.append(text[1:] == text[:-1], False)
+                stop = np.where(follows, np.append(at[1:], 0) + anchor, at)
+                phrase = np.where(follows, p.hashed(1, at, stop), np.uint64(0))
+                name = p.hashed(0, at, at + anchor)
+                # The order of documents; of one, places follow already.
+                placed = pa.table({"id": part.column("id"), "row": part.column("row"), "k": np.arange(part.num_rows)})
+                order = placed.sort_by([("id", "ascending"), ("row", "ascending")]).column("k").to_numpy()
+                rank = np.empty(part.num_rows, np.int64)
+                rank[order] = np.arange(part.num_rows)
+                by_name = np.lexsort((at, rank[text], name))
+                sorted_name = name[by_name]
+                new = np.append(True, sorted_name[1:] != sorted_name[:-1])
+                first = by_name[np.flatnonzero(new)[np.cumsum(new) - 1]]
+                source = np.empty(len(at), np.int64)
+                source[by_name] = first
+                known = source != np.arange(len(at))
+                again = np.zeros(len(at), bool)
+                again[source[known]] = True
+                same = follows & (phrase == phrase[source])
+                # Scatters rows that need no index; none of them is looked up.
+                own = _mixed(name ^ ((at + 1).astype(np.uint64) * np.uint64(_FACTORS[0])))
+                place = (at - begin).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *part.select(["id", "row"]).take(pa.array(text, pa.int64())).columns,
+                        pa.array(place), pa.array(np.where(follows, stop - begin, 0).astype(np.int32)),
+                        pa.array(np.where(known, own, name).view(np.int64)), pa.array(phrase.view(np.int64)), pa.array(again),
+                        pa.array(text[source], pa.int64(), mask=~known), pa.array((place[source] - place).astype(np.int32), mask=~known),
+                        pa.array(same, mask=~known),
+                    ],
+                    names=schema.names,
+                )
 
-    def start():
-        def work(texts):
-            p = Parsed(texts, window, anchor)
-            at = p.anchors
-            text = p.text_of[at]
-            begin = p.begins[text]
-            follows = np.append(text[1:] == text[:-1], False)[: len(at)]
-            stop = np.where(follows, np.append(at[1:], 0)[: len(at)] + anchor, at)
-            phrase = np.where(follows, p.hashed(1, at, stop), np.uint64(0))
-            return (
-                text, pa.array((at - begin).astype(np.int32)), pa.array(p.hashed(0, at, at + anchor).view(np.int64)),
-                pa.array(phrase.view(np.int64)), pa.array(np.where(follows, stop - begin, 0).astype(np.int32)),
-            )
+    return rows.select(*DOC, "text").mapInArrow(run, schema)
 
-        return work
 
-    fields = [("pos", T.IntegerType()), ("anchor", T.LongType()), ("phrase", T.LongType()), ("stop", T.IntegerType())]
-    return map_texts(rows, fields, start, ("doc",), "text")
+def _met(anchors: DataFrame) -> DataFrame:
+    """``id``, ``row`` and, for every anchor that stands twice, ``m``: what is known of it.
+
+    One shuffle by anchor, in which a place sees the first place before it.
+    """
+    in_order = Window.partitionBy("anchor", "local").orderBy(F.col("id").asc_nulls_last(), "row", "pos")
+    firsts = {f"first_{c}": F.first(c).over(in_order) for c in ("id", "row", "pos", "phrase")}
+    seen = anchors.withColumn("local", F.col("reference").isNotNull()).withColumns(
+        {"place": F.row_number().over(in_order), "next": F.lead(F.lit(True)).over(in_order), **firsts}
+    )
+    later = F.col("place") > 1
+    same = later & (F.col("stop") > 0) & (F.col("phrase") == F.col("first_phrase"))
+    reference = F.when(later, F.xxhash64("first_id", "first_row"))
+    return seen.filter(F.col("local") | F.col("again") | later | F.col("next").isNotNull()).select(
+        *DOC,
+        F.struct(
+            "pos", "stop",
+            F.coalesce("same", same).alias("same"),
+            F.coalesce("reference", reference).alias("reference"),
+            F.coalesce("shift", F.col("first_pos") - F.col("pos")).alias("shift"),
+        ).alias("m"),
+    )
 
 
 def _factors(met: DataFrame, window: int) -> DataFrame:
-    """``doc``, the places ``repeated`` of its repeated anchors, and its long factors ``spans``.
+    """``id``, ``row``, the places ``repeated`` of its repeated anchors, and its long factors ``spans``.
 
     ``met`` has an array of ``(pos, stop, same, reference, shift)`` per document.
     """
     ship_package(met.sparkSession)
-    schema = T.StructType([met.schema["doc"], *T.StructType.fromDDL("repeated array<int>, spans array<int>")])
+    schema = T.StructType([*met.select(*DOC).schema.fields, *T.StructType.fromDDL("repeated array<int>, spans array<int>")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,19 +267,19 @@ def _factors(met: DataFrame, window: int) -> DataFrame:
                         found.append(last)
                 spans.append([x for _, a, b in found if b - a >= window for x in (a, b)])
             lists = [pa.array(x, pa.list_(pa.int32())) for x in (repeated, spans)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), *lists], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *lists], names=schema.names)
 
-    return met.select("doc", "met").mapInArrow(run, schema)
+    return met.select(*DOC, "met").mapInArrow(run, schema)
 
 
 def _open_windows(rows: DataFrame, window: int, anchor: int) -> DataFrame:
-    """``doc``, ``start`` and ``window``, a hash, of the windows that factors leave to be checked."""
+    """``id``, ``row``, ``start`` and ``window``, a hash, of the windows that factors leave to be checked."""
     ship_package(rows.sparkSession)
-    schema = T.StructType([rows.schema["doc"], *T.StructType.fromDDL("start int, window binary")])
+    schema = T.StructType([*rows.select(*DOC).schema.fields, *T.StructType.fromDDL("start int, window binary")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 2):
                 p = Parsed(part.column("text").to_pylist(), window, anchor)
                 # Per word: whether a repeated anchor starts there, and how far a factor reaches.
                 hot = np.zeros(len(p.text_of) + 1, bool)
@@ -207,7 +297,7 @@ def _open_windows(rows: DataFrame, window: int, anchor: int) -> DataFrame:
                 text = p.text_of[at]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("doc").take(pa.array(text, pa.int64())),
+                        *part.select(["id", "row"]).take(pa.array(text, pa.int64())).columns,
                         pa.array((at - p.begins[text]).astype(np.int32)),
                         pa.FixedSizeBinaryArray.from_buffers(
                             pa.binary(16), len(at), [None, pa.py_buffer(np.ascontiguousarray(raw).tobytes())]
@@ -216,48 +306,34 @@ def _open_windows(rows: DataFrame, window: int, anchor: int) -> DataFrame:
                     names=schema.names,
                 )
 
-    return rows.select("doc", "text", "repeated", "spans").mapInArrow(run, schema)
+    return rows.select(*DOC, "text", "repeated", "spans").mapInArrow(run, schema)
 
 
 def repeated_spans(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """``doc``, ``spans`` and ``starts`` of the documents that repeat something.
+    """``id``, ``row``, ``spans`` and ``starts`` of the documents that repeat something.
 
     ``rows`` is a :func:`keyed` table. ``spans`` has pairs of a first and an end
     word, ``starts`` the beginnings of further windows.
     """
-    anchors = written(_anchor_rows(rows, window, anchor))
-    here = F.struct("doc", "pos", "phrase")
-    index = written(
-        anchors.groupBy("anchor").agg(F.min(here).alias("first"), F.count("*").alias("held")).filter("held > 1")
-    )
-    own = (F.col("first.doc") == F.col("doc")) & (F.col("first.pos") == F.col("pos"))
-    met = (
-        lookup_join(anchors, index, "anchor", "held", "doc")
-        .filter("held is not null")
-        .select(
-            "doc",
-            F.struct(
-                "pos", "stop",
-                ((F.col("stop") > 0) & (F.col("phrase") == F.col("first.phrase")) & ~own).alias("same"),
-                F.xxhash64("first.doc").alias("reference"),
-                (F.col("first.pos") - F.col("pos")).alias("shift"),
-            ).alias("m"),
-        )
-    )
+    met = _met(_anchor_rows(rows, window, anchor))
     # As many as the document has anchors; repeated rows are one document.
-    factors = written(_factors(met.groupBy("doc").agg(F.collect_set("m").alias("met")), window))
-    left = written(_open_windows(rows.join(factors, "doc"), window, anchor))
-    firsts = left.groupBy("window").agg(F.min(F.struct("doc", "start")).alias("first")).select("first.*")
+    factors = written(_factors(met.groupBy(*DOC).agg(F.collect_set("m").alias("met")), window))
+    left = written(_open_windows(_same_doc(rows, factors, "inner"), window, anchor))
+    # Hashed rows come from all over, so each task reduces its own copies first.
+    here = F.struct(F.col("id").isNull().alias("no_id"), "id", "row", "start")
+    firsts = left.groupBy("window").agg(F.min(here).alias("first")).select("first.id", "first.row", F.col("first.start").alias("first_start"))
     # Met by place, of which each window has its own, so no key is hot.
-    later = left.join(firsts, ["doc", "start"], "left_anti")
-    starts = later.groupBy("doc").agg(F.collect_set("start").alias("starts"))
-    return written(factors.select("doc", "spans").join(starts, "doc", "left").filter("size(spans) > 0 or starts is not null"))
+    named = firsts.withColumnsRenamed({c: f"other_{c}" for c in DOC})
+    same = left["id"].eqNullSafe(named["other_id"]) & (left["row"] == named["other_row"]) & (left["start"] == named["first_start"])
+    starts = left.join(named, same, "left_anti").groupBy(*DOC).agg(F.collect_set("start").alias("starts"))
+    cuts = _same_doc(factors.select(*DOC, "spans"), starts, "left")
+    return written(cuts.filter("size(spans) > 0 or starts is not null"))
 
 
 def _cut(rows: DataFrame, found: DataFrame, window: int, keep: list[str]) -> DataFrame:
     """``keep``, ``n_words``, ``n_removed`` and ``kept_text`` of all ``rows``."""
     ship_package(rows.sparkSession)
-    joined = rows.join(found, "doc", "left").select(*keep, "text", "spans", "starts")
+    joined = _same_doc(rows, found, "left").select(*keep, "text", "spans", "starts")
     at = len(keep)
     schema = T.StructType([*joined.schema.fields[:at], *T.StructType.fromDDL("n_words long, n_removed long, kept_text string")])
 
@@ -290,15 +366,15 @@ def passage_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A word goes if a window of ``window`` words around it also starts earlier: in
     a document of smaller id, or further up in its own. Null ids come last, and
-    ties of an id are in an order of their texts; rows that repeat an id and its
-    text are one document and get the same result each. Null and empty texts have
+    rows that repeat an id are in an order of their texts; rows that repeat the
+    text as well are one document and get the same result each. Null and empty texts have
     no words, texts below ``window`` words keep all. An empty table gives an
     empty one; other columns are not read.
     """
     rows = keyed(docs, id_col, text_col)
-    found = _cut(rows, repeated_spans(rows, window, min(ANCHOR, window)), window, ["doc"])
+    found = _cut(rows, repeated_spans(rows, window, min(ANCHOR, window)), window, ["id"])
     return found.select(
-        F.col("doc.id").alias(id_col), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
+        F.col("id").alias(id_col), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
     )
 
 

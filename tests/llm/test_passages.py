@@ -73,7 +73,7 @@ def test_long_copies_are_factors(spark, table):
     """Only the ends of a copy are checked window by window."""
     text = " ".join(f"w{i}" for i in range(3000))
     rows = substring_dedup.keyed(table([(1, text), (2, text), (3, text + " more")]), "doc_id", "text")
-    found = {r.doc.id: r for r in substring_dedup.repeated_spans(rows).collect()}
+    found = {r.id: r for r in substring_dedup.repeated_spans(rows).collect()}
     assert set(found) == {2, 3}
     for r in found.values():
         assert len(r.spans) == 2 and r.spans[1] - r.spans[0] > 2970 and len(r.starts) < 30
