@@ -68,7 +68,7 @@ def brute(own, texts):
 
 
 AWKWARD_PARTS = (
-    " ", " ", "  ", "\n", "\t", "a", "the", "'s", "1", "23", ".", "!!", "é", "漢", "😀", "▁", "<s>", "<|endoftext|>",
+    " ", " ", "  ", "\n", "\t", "a", "the", " Don", ", ", ";", ":", "?", "'s", "1", "23", ".", "!!", "é", "漢", "😀", "▁", "<s>", "<|endoftext|>",
     "\r\n", "x", "<0x41>", "\x00", "​", "ﬁ", "́", "\x1c", "</s>", "Don't", "　", "<unk>", "▁ ",
 )
 
@@ -81,14 +81,24 @@ def _fuzz(count):
 def test_cut_texts_have_the_ids_of_whole_texts(tokenizers):
     for text in _fuzz(3000):
         assert "".join(alignment.parts_of(text)) == " " + text
-        parts, ids = tokenizers.parts([text])[0], whole(tokenizers, text)
-        assert (parts is None) == (ids is None)
-        if parts:
-            groups = [g.split("|") for g in ";".join(p.told for p in parts).split(";")]
+        cut = alignment.parts_of(text)
+        known, ids = tokenizers.learn([cut]), whole(tokenizers, text)
+        parts = [known[p] for p in cut]
+        assert (None not in parts) == (ids is not None)
+        if ids:
+            groups = [g.split("|") for g in ";".join(p[2] for p in parts).split(";")]
             assert ids[0] == [int(i) for p, _ in groups for i in p.split(",")]
             assert ids[1] == [int(i) for _, q in groups for i in q.split(",")]
 
 
+def test_ranks_give_the_tokenizers_ids(tokenizers, texts):
+    assert tokenizers.fast_a is not None
+    for text in [*texts.values(), *_fuzz(500)]:
+        if text:
+            expected = tokenizers.a.encode(" " + text, add_special_tokens=False).ids
+            assert tokenizers.fast_a.encode_ordinary(" " + text) == expected
+
+
 def test_matches_brute_force(spark, texts, tokenizers):
     rows = sorted(texts.items())
     expected, _ = brute(tokenizers, [t for _, t in rows])
@@ -102,7 +112,7 @@ def test_odd_texts_and_their_counts(table, tokenizers):
     docs = table(enumerate(texts)).repartition(3)
     got = {r.doc_id: tuple(r)[1:] for r in alignment.alignment_report(docs).collect()}
     assert got == dict(enumerate(expected))
-    assert {(r.a_id, r.b_id): r.n for r in alignment.link_counts(docs).collect()} == counts
+    assert {(r.a_id, r.b_id): r.n for r in alignment.link_counts(alignment.aligned_rows(docs)).collect()} == counts
 
 
 def test_links_are_bounded_by_the_vocabularies(tokenizers):
