@@ -132,6 +132,27 @@ def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
+def _sources(name: np.ndarray, rank: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each place the first one of the same name, by document and place."""
+    order = np.lexsort((at, rank, *name))
+    changed = np.zeros(len(at), bool)
+    changed[:1] = True
+    for column in name:
+        held = column[order]
+        changed[1:] |= held[1:] != held[:-1]
+    source = np.empty(len(at), np.int64)
+    source[order] = order[np.flatnonzero(changed)[np.cumsum(changed) - 1]]
+    return source
+
+
+def _ranks(part: pa.RecordBatch) -> np.ndarray:
+    """The place of each row in the order of documents."""
+    placed = pa.table({"id": part.column("id"), "row": part.column("row"), "k": np.arange(part.num_rows)})
+    rank = np.empty(part.num_rows, np.int64)
+    rank[placed.sort_by([("id", "ascending"), ("row", "ascending")]).column("k").to_numpy()] = np.arange(part.num_rows)
+    return rank
+
+
 DOC = ["id", "row"]
 
 
@@ -183,17 +204,7 @@ def _anchor_rows(rows: DataFrame, window: int, anchor: int) -> DataFrame:
                 stop = np.where(follows, np.append(at[1:], 0) + anchor, at)
                 phrase = np.where(follows, p.hashed(1, at, stop), np.uint64(0))
                 name = p.hashed(0, at, at + anchor)
-                # The order of documents; of one, places follow already.
-                placed = pa.table({"id": part.column("id"), "row": part.column("row"), "k": np.arange(part.num_rows)})
-                order = placed.sort_by([("id", "ascending"), ("row", "ascending")]).column("k").to_numpy()
-                rank = np.empty(part.num_rows, np.int64)
-                rank[order] = np.arange(part.num_rows)
-                by_name = np.lexsort((at, rank[text], name))
-                sorted_name = name[by_name]
-                new = np.append(True, sorted_name[1:] != sorted_name[:-1])
-                first = by_name[np.flatnonzero(new)[np.cumsum(new) - 1]]
-                source = np.empty(len(at), np.int64)
-                source[by_name] = first
+                source = _sources(name[None, :], _ranks(part)[text], at)
                 known = source != np.arange(len(at))
                 again = np.zeros(len(at), bool)
                 again[source[known]] = True
@@ -273,9 +284,13 @@ def _factors(met: DataFrame, window: int) -> DataFrame:
 
 
 def _open_windows(rows: DataFrame, window: int, anchor: int) -> DataFrame:
-    """``id``, ``row``, ``start`` and ``window``, a hash, of the windows that factors leave to be checked."""
+    """``id``, ``row``, ``start``, and the hash ``high``, ``low`` of the windows that factors leave to be checked.
+
+    Those that are ``known`` to stand earlier, in the same slice of texts, have
+    numbers of their own instead, which scatters them.
+    """
     ship_package(rows.sparkSession)
-    schema = T.StructType([*rows.select(*DOC).schema.fields, *T.StructType.fromDDL("start int, window binary")])
+    schema = T.StructType([*rows.select(*DOC).schema.fields, *T.StructType.fromDDL("start int, high long, low long, known boolean")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -293,15 +308,15 @@ def _open_windows(rows: DataFrame, window: int, anchor: int) -> DataFrame:
                 reach = np.maximum.accumulate(reach)
                 left = hot[p.picks] & (reach[p.starts] < p.starts + window)
                 at = p.starts[left]
-                raw = np.stack([p.hashed(k, at, at + window) for k in (0, 1)], axis=1)
+                name = np.stack([p.hashed(k, at, at + window) for k in (0, 1)])
                 text = p.text_of[at]
+                known = _sources(name, _ranks(part)[text], at) != np.arange(len(at))
+                name[0][known] = _mixed(name[0] ^ ((at + 1).astype(np.uint64) * np.uint64(_FACTORS[0])))[known]
                 yield pa.RecordBatch.from_arrays(
                     [
                         *part.select(["id", "row"]).take(pa.array(text, pa.int64())).columns,
                         pa.array((at - p.begins[text]).astype(np.int32)),
-                        pa.FixedSizeBinaryArray.from_buffers(
-                            pa.binary(16), len(at), [None, pa.py_buffer(np.ascontiguousarray(raw).tobytes())]
-                        ).cast(pa.binary()),
+                        *(pa.array(x.view(np.int64)) for x in name), pa.array(known),
                     ],
                     names=schema.names,
                 )
@@ -318,14 +333,11 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     met = _met(_anchor_rows(rows, window, anchor))
     # As many as the document has anchors; repeated rows are one document.
     factors = written(_factors(met.groupBy(*DOC).agg(F.collect_set("m").alias("met")), window))
-    left = written(_open_windows(_same_doc(rows, factors, "inner"), window, anchor))
-    # Hashed rows come from all over, so each task reduces its own copies first.
-    here = F.struct(F.col("id").isNull().alias("no_id"), "id", "row", "start")
-    firsts = left.groupBy("window").agg(F.min(here).alias("first")).select("first.id", "first.row", F.col("first.start").alias("first_start"))
-    # Met by place, of which each window has its own, so no key is hot.
-    named = firsts.withColumnsRenamed({c: f"other_{c}" for c in DOC})
-    same = left["id"].eqNullSafe(named["other_id"]) & (left["row"] == named["other_row"]) & (left["start"] == named["first_start"])
-    starts = left.join(named, same, "left_anti").groupBy(*DOC).agg(F.collect_set("start").alias("starts"))
+    left = _open_windows(_same_doc(rows, factors, "inner"), window, anchor)
+    # A window of every document has a row per slice here, as an anchor has.
+    in_order = Window.partitionBy("high", "low", "known").orderBy(F.col("id").asc_nulls_last(), "row", "start")
+    later = left.withColumn("place", F.row_number().over(in_order)).filter("known or place > 1")
+    starts = later.groupBy(*DOC).agg(F.collect_set("start").alias("starts"))
     cuts = _same_doc(factors.select(*DOC, "spans"), starts, "left")
     return written(cuts.filter("size(spans) > 0 or starts is not null"))
 
