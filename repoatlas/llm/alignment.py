@@ -41,7 +41,7 @@ from repoatlas.session import ship_package, written
 BYTE_BPE = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
 # Parts kept with their groups per Python worker, and the longest that is kept.
-KNOWN_PARTS = 400_000
+KNOWN_PARTS = 250_000
 KNOWN_CHARS = 48
 # New parts of up to so many characters are encoded as one text.
 JOINED_CHARS = 24_000
