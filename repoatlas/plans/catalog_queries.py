@@ -20,9 +20,9 @@ from repoatlas.plans.registry import query
 from repoatlas.plans.score_queries import sql_cosine_label
 from repoatlas.plans.text_queries import _RESPONSE, with_response
 from repoatlas.schemas import EXPORT_CSV_SCHEMA
-from repoatlas.session import use_checkpoint_folder
+from repoatlas.session import use_checkpoint_folder, written
 from repoatlas.sources import readers, writers
-from repoatlas.streaming import ingest
+from repoatlas.streaming import ingest, paged_source
 
 PAGE_SIZE = 30
 SEARCH_PAGE_SIZE = 5
@@ -605,16 +605,21 @@ def _folder(spark, name: str) -> str:
     return f"{use_checkpoint_folder(spark)}/{name}-{uuid.uuid4()}"
 
 
-def _stream(spark, rows, order: str, files: int = 4):
-    """``rows`` landed as files one after the other, in ``order``, read one file per batch."""
+def _stream(spark, rows, order: str, parts: int = 4):
+    """``rows`` landed in ``parts`` one after the other, in ``order``, read one part per batch.
+
+    A part is written by all tasks. Rows without a place in the order come first.
+    """
     folder = _folder(spark, "landing")
+    files = spark.sparkContext.defaultParallelism
     place = F.col(order).cast("double")
-    bounds = rows.select(place.alias("x")).approxQuantile("x", [n / files for n in range(1, files)], 0.01)
+    bounds = rows.select(place.alias("x")).approxQuantile("x", [n / parts for n in range(1, parts)], 0.01)
     edges = [float("-inf"), *bounds, float("inf")]
-    for low, high in zip(edges, edges[1:]):
-        part = rows.filter((place > low) & (place <= high))
-        part.coalesce(1).write.mode("append").parquet(folder)
-    return ingest.read_landing(spark, folder, rows.schema, files_per_batch=1)
+    for number, (low, high) in enumerate(zip(edges, edges[1:])):
+        inside = (place > low) & (place <= high)
+        part = rows.filter(inside | place.isNull() if number == 0 else inside)
+        part.repartition(files).write.mode("append").parquet(folder)
+    return ingest.read_landing(spark, folder, rows.schema, files_per_batch=files)
 
 
 def _sighting_stream(spark, sf_dir):
@@ -665,3 +670,28 @@ def stream_keyword_rollup(spark, sf_dir):
     stream = _sighting_stream(spark, sf_dir)
     ingest.ingest_keywords(stream, folder, _folder(spark, "keywords-state"), I.SIGHTING_ORDER)
     return ingest.keywords_view(spark, folder)
+
+
+LANDED_PAGE_SIZE = 2000
+
+
+@query(
+    "stream_landed_pages",
+    f"""WITH {I.SQL_CATALOG}, {I.SQL_KEYWORDS}, {_SQL_WORK.replace(f"// {PAGE_SIZE}", f"// {LANDED_PAGE_SIZE}")}
+        SELECT id, keyword, page FROM work""",
+)
+def stream_landed_pages(spark, sf_dir):
+    """Every keyword's matches, landed in pages; the stream is stopped between two keywords and goes on there."""
+    rows = I.catalog(spark, sf_dir, wide=True).select("id", "updated_at", "readme")
+    work = C.catalog_pages(keyword_match(rows, I.KEYWORDS), LANDED_PAGE_SIZE, group="ord")
+    work = written(work.select("id", F.col("keyword").alias("searched"), "ord", "page"))
+    landing, folder, state = (_folder(spark, n) for n in ("pages", "paged", "paged-state"))
+    schema = work.drop("ord", "page").schema
+    numbers = list(range(len(I.KEYWORDS)))
+    for searched in (numbers[:3], numbers[3:]):
+        found = work.filter(F.col("ord").isin(searched))
+        paged_source.land_pages(found, landing, searched, page_rows=LANDED_PAGE_SIZE)
+        stream = paged_source.read_pages(spark, landing, schema)
+        ingest.ingest_pages(stream, folder, state, lambda batch: batch)
+    found = ingest.read_batches(spark, folder, stream.schema)
+    return found.select("id", F.col("searched").alias("keyword"), "page")

@@ -7,6 +7,7 @@ aggregate over the reduced sightings and is not rewritten per batch;
 :func:`compact` folds the batches so far into one.
 """
 
+import contextlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,6 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from repoatlas.functions.encoding import merge_keywords
-from repoatlas.operators.dedupe import dedupe_first
 from repoatlas.operators.upsert import first_sightings
 from repoatlas.sources.readers import path_exists
 
@@ -68,20 +68,57 @@ def ingest_pages(
     )
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextlib.contextmanager
+def _state_on_disk(spark: SparkSession):
+    """Queries started meanwhile keep their state in RocksDB, on disk instead of the heap."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def first_by_key(stream: DataFrame, key: str, seq: str = "seq") -> DataFrame:
+    """The rows of keys that come for the first time, of each the one of lowest ``seq``, as a stream.
+
+    For output in update mode. The state store holds the first row of a key and
+    when the key came first and last, by the time of the batch, which a batch
+    that is run again keeps. A key is new if both are the same. Every task reduces its own rows
+    of a key before they meet. A null key is a key like others.
+    """
+    names = stream.columns
+    timed = stream.select(F.struct(*names).alias("row"), F.current_timestamp().alias("came"))
+    state = timed.groupBy(F.col(f"row.{key}").alias("key")).agg(
+        F.min_by("row", F.struct("came", f"row.{seq}")).alias("row"),
+        F.min("came").alias("first_came"),
+        F.max("came").alias("last_came"),
+    )
+    return state.filter("first_came = last_came").select("row.*")
+
+
 def ingest_first_by_key(
     stream: DataFrame, folder: str, checkpoint: str, key: str, seq: str = "seq"
 ) -> StreamingQuery:
-    """Only the first row ever seen of every ``key``.
+    """Only the first row ever seen of every ``key``; see :func:`first_by_key`.
 
-    A batch is reduced to one row per key before it is compared with the keys of
-    earlier batches, so copies inside it do not pile up in one task.
+    A batch reads what has landed and the state of its own keys, nothing that was
+    written before.
     """
-
-    def save(rows: DataFrame, batch_id: int) -> None:
-        seen = read_batches(rows.sparkSession, folder, stream.schema, batch_id).select(key)
-        _write_batch(dedupe_first(rows, key, seq).join(seen, key, "left_anti"), folder, batch_id)
-
-    return _run(stream, checkpoint, save)
+    with _state_on_disk(stream.sparkSession):
+        return _run(
+            first_by_key(stream, key, seq),
+            checkpoint,
+            lambda rows, batch_id: _write_batch(rows, folder, batch_id),
+            mode="update",
+        )
 
 
 def ingest_sightings(
