@@ -132,4 +132,6 @@ def test_lineage_is_cut_in_the_shared_folder(spark):
     folder = use_checkpoint_folder(spark)
     assert spark.sparkContext.getConf().get("spark.checkpoint.dir") in folder
     df = cut_lineage(spark.range(5))
-    assert "ExistingRDD" in df._jdf.queryExecution().executedPlan().toString()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "Range" not in plan
+    assert all(folder in name for name in df.inputFiles())
