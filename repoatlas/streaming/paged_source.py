@@ -8,19 +8,19 @@ Pages are never changed once landed. Folder names alone tell how far the stream
 can go; the rows of a batch's pages are read by as many tasks.
 """
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from repoatlas.session import ship_package
-
 FORMAT = "landed_pages"
 
 
@@ -134,7 +134,9 @@ def _files(path: str) -> tuple[pafs.FileSystem, str]:
 
 def read_pages(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
     """The landed rows of ``schema`` as a stream, with ``keyword`` and ``page``."""
-    ship_package(spark)
+    # The process that plans a source's batches loads it before shipped packages
+    # are there, so the source travels whole.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.dataSource.register(LandedPages)
     placed = T.StructType([*schema.fields, T.StructField("keyword", T.IntegerType()), T.StructField("page", T.LongType())])
     return spark.readStream.format(FORMAT).schema(placed).option("path", folder).load()
