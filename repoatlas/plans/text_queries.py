@@ -1,5 +1,9 @@
-"""Cleaning, cutting, encoding, language and license queries."""
+"""Cleaning, cutting, encoding, language, license, phrase and keyword table queries."""
 
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repoatlas.fixed_values import (
@@ -13,10 +17,13 @@ from repoatlas.functions import licenses as L
 from repoatlas.functions import text as X
 from repoatlas.operators import license_scan as scan
 from repoatlas.operators.inference import hash_embeddings, infer, lead_summarizer
+from repoatlas.operators.keyword_table import match_keywords
+from repoatlas.operators.phrase_index import build_phrase_index, phrase_search
 from repoatlas.operators.prompts import summary_messages
 from repoatlas.operators.topics import detect_language, extract_topics, route_language
 from repoatlas.plans import inputs as I
 from repoatlas.plans.registry import query
+from repoatlas.session import use_checkpoint_folder
 
 
 def _per_document(name: str, column, sql: str) -> None:
@@ -343,3 +350,35 @@ def _sql_audit() -> str:
 @query("license_rule_audit", _sql_audit())
 def license_rule_audit(spark, sf_dir):
     return scan.license_rule_audit(I.texts(spark, sf_dir))
+
+
+# --- phrases and keyword tables ---------------------------------------------
+
+# Common, rare and absent ones, and one too short for the index.
+PHRASES = ["tion the", "oder", "re, whthe", "zz", "éa", "no such phrase"]
+
+
+@query(
+    "phrase_search",
+    f"""WITH phrases(phrase) AS ({I.sql_values([(p,) for p in PHRASES])})
+        SELECT phrase, doc_id FROM documents JOIN phrases ON contains(lower(text), phrase)""",
+)
+def phrases_by_index(spark, sf_dir):
+    """An index of all texts, built once, and several searches in it."""
+    folder = f"{use_checkpoint_folder(spark)}/phrases-{uuid.uuid4()}"
+    build_phrase_index(I.texts(spark, sf_dir).select("doc_id", F.col("text").alias("readme")), folder)
+    found = [phrase_search(spark, folder, p).select(F.lit(p).alias("phrase"), "doc_id") for p in PHRASES]
+    return reduce(DataFrame.unionAll, found)
+
+
+@query(
+    "keyword_table_match",
+    """WITH keywords AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{7,}')) AS keyword FROM benchmark)
+        SELECT doc_id, keyword FROM documents JOIN keywords ON contains(text, keyword)""",
+)
+def keywords_by_automaton(spark, sf_dir):
+    """The long words of the benchmark as a keyword table, wherever a text has them, also inside a word."""
+    long_words = F.regexp_extract_all("text", F.lit("[A-Za-z]{7,}"), F.lit(0))
+    keywords = I.table(spark, sf_dir, "benchmark").select(F.explode(long_words).alias("keyword"))
+    docs = I.texts(spark, sf_dir).select("doc_id", F.col("text").alias("readme"))
+    return match_keywords(docs, keywords, doc_id="doc_id").drop("n")
