@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repoatlas.llm import exact_dedup, langid, near_copies, packing, pii
+from repoatlas.llm import exact_dedup, langid, packing, pii, simhash
 from repoatlas.llm.tasks import documents
 from repoatlas.session import use_checkpoint_folder
 
@@ -28,8 +28,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by four fifths of common five-word shingles: the smallest id."""
-    return near_copies.drop_near_copies(docs)
+    """One document of each group linked by fingerprints of at most two differing bits: the smallest id."""
+    return simhash.drop_near_duplicates(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
