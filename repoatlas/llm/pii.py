@@ -1,11 +1,13 @@
 """Personal data: typed patterns, and identifiers found through their contexts.
 
-The typed patterns (e-mail, IP, card, phone) find the base spans. Their contexts,
-the words just before them, are patterns; other tokens with digits that stand in
-the same contexts are instances. A graph of patterns and instances, over the
-whole corpus, is scored in rounds: a pattern by the share of its instances that
-are trusted, an instance by its best pattern. Tokens in patterns of high
-confidence are identifiers that no typed pattern knows.
+The typed patterns (e-mail, IP, card, phone) find the base spans, the seeds of a
+bootstrap. Each text is cut into units, short runs of digit groups or words. The
+word before a unit, the two words before it and the two after it are its
+patterns. Patterns and units form a graph over the whole corpus. A pattern's
+score is the trusted share of all its different units, ordinary words included;
+a unit is trusted if it is a seed or stands in a confident pattern. Patterns of
+newly trusted units enter the graph, until nothing changes. Units in confident
+patterns that look like identifiers are spans that no typed pattern knows.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -29,21 +31,29 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone", "id")
 
-# A token with a digit; trimmed of these marks it is a candidate if long enough.
-TOKEN = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
-MARKS = ".,;:!?\"'()[]{}<>*#$%&|"
+# A base span in a text whose base spans are masked, one character for each of theirs.
+MASK = "\ue000"
+# The units of a masked text: a masked span, else up to six groups of digits as
+# in "(614) 555-8001" that no letter follows, else a word without the marks around
+# it. A word ends in a character that could begin one, so a text is read once.
+UNIT = (
+    MASK + "++"
+    r"|[(+]{0,2}+[0-9]++(?:\)?[\x20.-]?\(?[0-9]++){0,5}+(?![\p{L}_@])"
+    r"|[\p{L}\p{N}_](?:[^\s\"'=:,;()<>\[\]{}|!?" + MASK + r"]*[\p{L}\p{M}\p{N}_])?"
+)
+# A unit can be an identifier if it has three digits, or a digit and a letter, or
+# one of ``._@`` between two others. Units of fewer characters, and other words,
+# only count against the patterns they stand in.
+LOOKS = r"^(?:(?:[^0-9]*+[0-9]){3}|(?=[^\p{L}]*+\p{L})[^0-9]*+[0-9]|.*?[\p{L}\p{N}][._@][\p{L}\p{N}])"
 MIN_CHARS = 5
-MIN_DIGITS = 3
-# The context of a place is the last two words of so many characters before it.
-CONTEXT_CHARS = 64
-# A context leads to a value if it ends in one of these signs. Others, such as
-# "of the", stand before anything and say nothing about a token.
-CUE = "[:=#]$"
-
-# Rounds of scoring; trusted seeds that a pattern needs; score it needs.
-ROUNDS = 3
-MIN_SUPPORT = 2.0
+# Lengths are added up in blocks of 2**BLOCK units.
+BLOCK = 6
+
+# Trusted units that a pattern needs; score it needs; most rounds. A round without
+# a new trusted unit is the last; each other one trusts one more at least.
+MIN_SUPPORT = 2
 MIN_SCORE = 0.5
+MAX_ROUNDS = 20
 
 NONE = "array<struct<start:int,end:int,match:string>>"
 
@@ -139,45 +149,101 @@ def base_spans(text: Column) -> Column:
     return F.sort_array(F.concat(*[of_kind(m, test, kind) for kind, (m, test) in enumerate(found)]))
 
 
-def _context(text: Column, start: Column) -> Column:
-    """The last two words before ``start``, in lower case; empty if they end in no cue."""
-    near = F.substring(text, F.greatest(start - CONTEXT_CHARS, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT_CHARS)))
-    words = F.filter(F.split(F.lower(F.rtrim(near, F.lit(" \t\"'"))), r"[\s\"']+"), lambda w: w != "")
-    last = bind(words, lambda w: F.array_join(F.slice(w, F.greatest(F.size(w) - 1, F.lit(1)), F.lit(2)), " "))
-    return bind(last, lambda c: F.when(c.rlike(CUE), c).otherwise(""))
-
+def _masked(text: Column, spans: Column) -> Column:
+    """``text`` with the characters of the spans replaced by ``MASK``."""
 
-def _occurrences(text: Column, base: Column) -> Column:
-    """Seeds and candidates in a context: ``start``, ``end``, ``pattern``, ``instance``, ``seed``."""
-
-    def place(start: Column, end: Column, seed: bool) -> Column:
+    def step(at: Column, span: Column) -> Column:
+        begin = F.greatest(at["end"], span["start"])
+        more = F.array(F.substring(text, at["end"] + 1, begin - at["end"]), F.repeat(F.lit(MASK), span["end"] - begin))
+        covered = span["end"] <= at["end"]
         return F.struct(
-            start.alias("start"),
-            end.alias("end"),
-            _context(text, start).alias("pattern"),
-            F.substring(text, start + 1, end - start).alias("instance"),
-            F.lit(seed).alias("seed"),
+            F.when(covered, at["parts"]).otherwise(F.concat(at["parts"], more)).alias("parts"),
+            F.greatest(at["end"], span["end"]).alias("end"),
         )
 
-    def trimmed(token: Column) -> Column:
-        lead = F.length(token["match"]) - F.length(F.ltrim(token["match"], F.lit(MARKS)))
-        tail = F.length(token["match"]) - F.length(F.rtrim(token["match"], F.lit(MARKS)))
-        return F.struct((token["start"] + lead).alias("start"), (token["end"] - tail).alias("end"), token["match"].alias("match"))
-
-    tokens = F.filter(
-        _matches(text, TOKEN, text.rlike(r"[:=#][\s\"']*[^\s0-9]*+[0-9]")),
-        lambda t: F.length(_digits(t["match"])) >= MIN_DIGITS,
-    )
-    candidates = F.filter(
-        F.transform(tokens, trimmed),
-        lambda t: (t["end"] - t["start"] >= MIN_CHARS)
-        & ~F.exists(base, lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"])),
+    begin = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).alias("end"))
+    masked = F.aggregate(
+        spans, begin, step, lambda at: F.concat(F.array_join(at["parts"], ""), F.substring(text, at["end"] + 1, F.length(text)))
     )
-    both = F.concat(
-        F.transform(base, lambda b: place(b["start"], b["end"], True)),
-        F.transform(candidates, lambda t: place(t["start"], t["end"], False)),
+    return F.when(F.size(spans) == 0, text).otherwise(masked)
+
+
+def _looks(unit: Column) -> Column:
+    return (F.length(unit) >= MIN_CHARS) & unit.rlike(LOOKS)
+
+
+def _patterns(words: Column, at: Column) -> Column:
+    """The patterns of unit ``at``; those that a text's end or a masked span cuts off are missing."""
+
+    def near(offset: int) -> Column:
+        word = F.get(words, at + offset)
+        return F.when(~word.startswith(MASK), F.lower(word))
+
+    return F.array_compact(
+        F.array(
+            F.concat(F.lit("< "), near(-1)),
+            F.concat(F.lit("<< "), near(-2), F.lit(" "), near(-1)),
+            F.concat(F.lit(">> "), near(1), F.lit(" "), near(2)),
+        )
     )
-    return F.filter(both, lambda o: o["pattern"] != "")
+
+
+def _starts(gaps: Column, words: Column, wanted: Column, use) -> Column:
+    """``use(unit, start)`` for each of the ``wanted`` units, by number.
+
+    A unit's start is the length of all before it: of whole blocks, added up
+    once, and of the units of its own block.
+    """
+    add = lambda done, n: done + n
+
+    def block_starts(lengths: Column) -> Column:
+        sums = F.transform(
+            F.sequence(F.lit(0), F.shiftright(F.size(lengths), BLOCK)),
+            lambda b: F.aggregate(F.slice(lengths, F.shiftleft(b, BLOCK) + 1, F.lit(1 << BLOCK)), F.lit(0), add),
+        )
+        return F.aggregate(sums, F.array(F.lit(0)), lambda done, n: F.array_append(done, F.element_at(done, -1) + n))
+
+    def places(lengths: Column, blocks: Column) -> Column:
+        def start(i: Column) -> Column:
+            block = F.shiftright(i, BLOCK)
+            own = F.slice(lengths, F.shiftleft(block, BLOCK) + 1, i.bitwiseAND((1 << BLOCK) - 1))
+            return F.get(blocks, block) + F.aggregate(own, F.lit(0), add) + F.length(F.get(gaps, i))
+
+        return F.transform(wanted, lambda i: bind(start(i), lambda at: use(i, at)))
+
+    lengths = F.zip_with(gaps, words, lambda g, w: F.length(g) + F.coalesce(F.length(w), F.lit(0)))
+    return bind(lengths, lambda held: bind(block_starts(held), lambda blocks: places(held, blocks)))
+
+
+PLACE = "array<struct<start:int,end:int,seed:boolean,instance:string,patterns:array<string>>>"
+
+
+def _occurrences(text: Column, masked: Column, base: Column) -> Column:
+    """Seeds and units that look like identifiers: ``start``, ``end``, ``seed``, ``instance``, ``patterns``."""
+
+    def places(words: Column, wanted: Column) -> Column:
+        def place(i: Column, start: Column) -> Column:
+            end = start + F.length(F.get(words, i))
+            return F.struct(
+                start.alias("start"),
+                end.alias("end"),
+                F.exists(base, lambda b: (b["start"] < end) & (b["end"] > start)).alias("seed"),
+                F.lower(F.substring(text, start + 1, end - start)).alias("instance"),
+                _patterns(words, i).alias("patterns"),
+            )
+
+        gaps = F.split(masked, UNIT, -1)
+        return bind(gaps, lambda held: _starts(held, words, wanted, place))
+
+    def search(words: Column) -> Column:
+        wanted = F.array_compact(F.transform(words, lambda w, i: F.when(w.startswith(MASK) | _looks(w), i)))
+        return bind(
+            wanted, lambda held: F.when(F.size(held) > 0, places(words, held)).otherwise(F.array().cast(PLACE))
+        )
+
+    found = bind(F.regexp_extract_all(masked, F.lit(UNIT), F.lit(0)), search)
+    # The mask's own character in a text makes neither a seed nor an identifier.
+    return F.filter(found, lambda o: o["seed"] | ~o["instance"].startswith(MASK))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,46 +251,135 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     text = text_of(text_col)
     held = docs.select(F.col(id_col).alias("id"), text.alias("held_text"))
     spotted = held.select("id", text_key("held_text").alias("text_key"), "held_text", base_spans(F.col("held_text")).alias("base"))
-    return spotted.select("id", "text_key", "base", _occurrences(F.col("held_text"), F.col("base")).alias("occurrences"))
+    hidden = spotted.withColumn("masked", _masked(F.col("held_text"), F.col("base")))
+    return hidden.select(
+        "id", "text_key", "base", _occurrences(F.col("held_text"), F.col("masked"), F.col("base")).alias("occurrences")
+    )
+
+
+def _ordinary(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
+    """The different ordinary words in each of the ``wanted`` patterns: ``pattern``, ``instance``.
+
+    Every unit of every text is read; a task keeps those in a wanted pattern.
+    """
+    words = docs.select(F.regexp_extract_all(text_of(text_col), F.lit(UNIT), F.lit(0)).alias("words"))
+    units = words.select("words", F.posexplode("words").alias("at", "unit")).filter(~_looks(F.col("unit")))
+    placed = units.select(
+        F.lower("unit").alias("instance"), F.explode(_patterns(F.col("words"), F.col("at"))).alias("pattern")
+    )
+    return (
+        lookup_join(placed, wanted, "pattern", "places", "instance")
+        .filter("places is not null")
+        .select("pattern", "instance")
+        .distinct()
+    )
+
 
+def _reachable(edges: DataFrame) -> DataFrame:
+    """Every ``pattern`` that could become confident, with its ``places`` among trusted units.
 
-def score_patterns(occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    The bootstrap without ordinary words, which can only lower a score. A round
+    reads the edges of trusted units and those of the patterns beside at least
+    ``MIN_SUPPORT`` of them, and no others.
+    """
+    trusted = written(edges.filter("seed").groupBy("instance").agg(F.count("*").alias("places")))
+    known = trusted.count()
+    found = None
+    for _ in range(MAX_ROUNDS):
+        beside = written(
+            lookup_join(edges.select("pattern", "instance"), trusted, "instance", "places", "pattern")
+            .filter("places is not null")
+            .groupBy("pattern", "instance")
+            .agg(F.count("*").alias("places"))
+            .groupBy("pattern")
+            .agg(F.count("*").alias("support"), F.sum("places").alias("places"))
+            .filter(F.col("support") >= MIN_SUPPORT)
+        )
+        inside = written(
+            lookup_join(edges.select("pattern", "instance"), beside, "pattern", "places", "instance")
+            .filter("places is not null")
+            .groupBy("pattern", "instance")
+            .agg(F.count("*").alias("held"), F.max("support").alias("support"))
+        )
+        found = written(
+            inside.groupBy("pattern")
+            .agg(F.sum("held").alias("places"), F.max("support").alias("support"), F.count("*").alias("instances"))
+            .filter(F.col("support") >= MIN_SCORE * F.col("instances"))
+            .select("pattern", "places")
+        )
+        more = lookup_join(inside.select("pattern", "instance", "held"), found, "pattern", "places", "instance")
+        trusted = written(
+            more.filter("places is not null")
+            .select("instance", F.col("held").alias("places"))
+            .unionByName(trusted)
+            .groupBy("instance")
+            .agg(F.sum("places").alias("places"))
+        )
+        before, known = known, trusted.count()
+        if known == before:
+            break
+    return found
+
+
+def score_patterns(occurrences: DataFrame, rounds: int = MAX_ROUNDS) -> DataFrame:
     """``pattern``, ``score``, ``support`` of every pattern, from (``pattern``, ``instance``, ``seed``).
 
-    A seed's score is 1, always. In each round a pattern's score is the mean
-    score of its distinct instances, or 0 if their scores add up to less than
-    ``MIN_SUPPORT``; another instance's is the best of its patterns'. A pattern
-    or an instance may have any share of the edges: edges are reduced in each
-    task and meet scores by ``lookup_join``.
+    ``support`` is the number of a pattern's different trusted instances, and
+    ``score`` their share of all its different instances, or 0 if there are
+    fewer than ``MIN_SUPPORT``. Seeds are trusted; other instances are as soon as
+    one of their patterns scores ``MIN_SCORE``. Trust only grows, so rounds end
+    when no instance is added (or after ``rounds``). If there is a column
+    ``plain``, instances that have it set are never trusted. A pattern or an
+    instance may have any share of the edges: edges are reduced in each task and
+    meet scores by ``lookup_join``.
     """
+    plain = F.max("plain") if "plain" in occurrences.columns else F.lit(False)
     edges = written(
-        occurrences.groupBy("pattern", "instance").agg(F.max(F.col("seed").cast("double")).alias("seed"))
+        occurrences.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), plain.alias("plain"))
     )
+    count = F.count("*").alias("patterns")
+    seeds = edges.filter("seed").select("instance")
+    trusted = written(seeds.groupBy("instance").agg(count))
+    known = trusted.count()
     scores = None
-    scored = edges.withColumn("score", F.col("seed"))
-    for round_ in range(rounds):
+    for _ in range(rounds):
         scores = written(
-            scored.groupBy("pattern")
-            .agg(F.sum("score").alias("support"), F.count("*").alias("instances"))
-            .select(
-                "pattern",
-                F.when(F.col("support") >= MIN_SUPPORT, F.col("support") / F.col("instances")).otherwise(0.0).alias("score"),
-                "support",
-                "instances",
+            lookup_join(edges, trusted, "instance", "patterns", "pattern")
+            .groupBy("pattern")
+            .agg(F.count("patterns").alias("support"), F.count("*").alias("instances"))
+            .withColumn(
+                "score", F.when(F.col("support") >= MIN_SUPPORT, F.col("support") / F.col("instances")).otherwise(0.0)
             )
         )
-        if round_ == rounds - 1:
-            break
-        given = lookup_join(edges, scores.select("pattern", "score", "instances"), "pattern", "instances", "instance")
+        confident = scores.filter(F.col("score") >= MIN_SCORE).select("pattern", "instances")
+        inside = lookup_join(edges.filter("not plain"), confident, "pattern", "instances", "instance")
         trusted = written(
-            given.groupBy("instance").agg(
-                F.greatest(F.max("seed"), F.max("score")).alias("score"), F.count("*").alias("patterns")
-            )
+            inside.filter("instances is not null").select("instance").unionByName(seeds).groupBy("instance").agg(count)
         )
-        scored = lookup_join(edges, trusted, "instance", "patterns", "pattern")
+        before, known = known, trusted.count()
+        if known == before:
+            break
     return scores.select("pattern", "score", "support")
 
 
+def confident_patterns(
+    scanned: DataFrame, docs: DataFrame, text_col: str = "text"
+) -> DataFrame:
+    """``pattern``, ``score``, ``places`` of the patterns that name identifiers, from a ``scan`` of ``docs``."""
+    edges = scanned.select(F.explode("occurrences").alias("o")).select(
+        F.explode("o.patterns").alias("pattern"), "o.instance", "o.seed"
+    )
+    wanted = _reachable(edges)
+    known = lookup_join(edges, wanted, "pattern", "places", "instance").filter("places is not null")
+    ordinary = _ordinary(docs, wanted, text_col)
+    graph = known.select("pattern", "instance", "seed", F.lit(False).alias("plain")).unionByName(
+        ordinary.select("pattern", "instance", F.lit(False).alias("seed"), F.lit(True).alias("plain"))
+    )
+    return written(
+        score_patterns(graph).filter(F.col("score") >= MIN_SCORE).join(wanted, "pattern").select("pattern", "score", "places")
+    )
+
+
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id``, ``text_key``, ``base`` and all ``spans`` (``start``, ``kind``, ``end``) per document.
 
@@ -232,23 +387,14 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     empty table gives an empty one; other columns are not read.
     """
     scanned = written(scan(docs, id_col, text_col))
-    seen = written(
-        scanned.filter(F.size("occurrences") > 0)
-        .select("id", "text_key", F.explode("occurrences").alias("o"))
-        .select("id", "text_key", "o.*")
-    )
-    sizes = seen.groupBy("pattern").agg(F.count("*").alias("places"))
-    confident = written(
-        score_patterns(seen.select("pattern", "instance", "seed"))
-        .filter(F.col("score") >= MIN_SCORE)
-        .join(sizes, "pattern")
-        .select("pattern", "score", "places")
-    )
-    named = lookup_join(seen.filter("not seed"), confident, "pattern", "places", "text_key").filter("score is not null")
+    confident = confident_patterns(scanned, docs, text_col)
+    seen = scanned.select("id", "text_key", F.explode("occurrences").alias("o")).filter("not o.seed")
+    placed = seen.select("id", "text_key", "o.start", "o.end", F.explode("o.patterns").alias("pattern"))
+    named = lookup_join(placed, confident, "pattern", "places", "text_key").filter("score is not null")
     more = named.groupBy(F.col("id").alias("more_id"), F.col("text_key").alias("more_key")).agg(
         F.collect_set(F.struct("start", F.lit(KINDS.index("id")).alias("kind"), "end")).alias("more")
     )
-    return scanned.join(
+    return scanned.select("id", "text_key", "base").join(
         more, F.col("id").eqNullSafe(F.col("more_id")) & (F.col("text_key") == F.col("more_key")), "left"
     ).select(
         "id",

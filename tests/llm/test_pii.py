@@ -80,3 +80,90 @@ def test_repeated_rows_have_a_row_each(table):
 def test_no_python_on_the_main_path(awkward):
     plan = pii.scan(awkward)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+PLANTED = {
+    "call me at 614-555-8001": "614-555-8001",
+    "my e-mail is jane_smith99": "jane_smith99",
+    "phone: (614) 555-8001": "(614) 555-8001",
+    "phone: 614 555 8001": "614 555 8001",
+    "phone: 614-555-8001": "614-555-8001",
+    "user id: jane.smith": "jane.smith",
+    "ticket by QX-99812 with thanks": "QX-99812",
+}
+ORDINARY = (
+    "call me at home",
+    "my e-mail is down",
+    "phone: none given",
+    "see the end of the 7654321 rows",
+    "rows of the 1234567 tables of the year",
+    "version 2.0.14 of the code, of the day",
+)
+
+
+def _contextual():
+    """Seeds behind and before words, unseen identifiers in the same places, and ordinary texts.
+
+    Seeds also stand behind "of the", as do three times as many ordinary words.
+    """
+    rng = random.Random(7)
+    texts = []
+    for n in range(24):
+        mail, phone = f"user{n}@example.com", f"+1 614 555 {1000 + n}"
+        texts += [f"{'please ' * (n % 3)}call me at {phone}", f"my e-mail is {mail}", f"phone: {phone}", f"user id: {mail}"]
+        texts += [f"{n} ticket by {mail} with thanks", rng.choice(ORDINARY), "one of the " + mail]
+    texts += [f"one of the {a}{b}{c} kind" for a in "bdfg" for b in "aeo" for c in ("n", "rk", "st", "lm", "mp", "ld")]
+    return list(enumerate(texts + list(PLANTED) + list(ORDINARY)))
+
+
+def test_identifiers_behind_plain_words(table):
+    rows = _contextual()
+    texts = dict(rows)
+    got = {texts[r.doc_id]: r for r in pii.pii_report(table(rows)).collect()}
+    for text, wanted in PLANTED.items():
+        start = text.index(wanted)
+        assert got[text].spans == f"id:{start}:{start + len(wanted)}", text
+    for text in ORDINARY:
+        assert got[text].spans == "", text
+
+
+def _plain_bootstrap(edges):
+    """The confident patterns and their scores, by sets; ``edges`` are (pattern, instance, seed, plain)."""
+    inside, trusted, plain = {}, set(), set()
+    for pattern, instance, seed, ordinary in edges:
+        inside.setdefault(pattern, set()).add(instance)
+        trusted |= {instance} if seed else set()
+        plain |= {instance} if ordinary else set()
+    while True:
+        scores = {p: len(i & trusted) / len(i) if len(i & trusted) >= pii.MIN_SUPPORT else 0.0 for p, i in inside.items()}
+        more = set().union(*(inside[p] - plain for p, s in scores.items() if s >= pii.MIN_SCORE)) | trusted
+        if more == trusted:
+            return scores
+        trusted = more
+
+
+def test_scores_of_random_graphs(spark):
+    rng = random.Random(11)
+    kinds = {f"i{n}": rng.choice(("seed", "plain", "plain", "other", "other")) for n in range(90)}
+    picks = [(f"p{rng.randint(0, 40)}", rng.choice(list(kinds))) for _ in range(220)]
+    edges = [(p, i, kinds[i] == "seed", kinds[i] == "plain") for p, i in picks]
+    df = spark.createDataFrame(edges, "pattern string, instance string, seed boolean, plain boolean")
+    got = {r.pattern: r.score for r in pii.score_patterns(df).collect()}
+    assert got == _plain_bootstrap(edges)
+    assert len({s >= pii.MIN_SCORE for s in got.values()}) == 2
+
+
+def test_places_of_units(table):
+    """Every place holds its instance, in texts with characters of any width and of many blocks."""
+    rng = random.Random(3)
+    words = ["word", "ab-12345", "é", "😀x", "ann@example.com", "jane.smith,", "(614) 555-8001;", "\n", "", "漢字 9x9x9"]
+    rows = [(n, " ".join(rng.choice(words) for _ in range(rng.choice((0, 3, 40, 700))))) for n in range(30)]
+    rows.append((99, pii.MASK * 5 + " mail ann@example.com  ab-12345"))
+    texts = dict(rows)
+    n = 0
+    for r in pii.scan(table(rows)).collect():
+        for o in r.occurrences:
+            assert texts[r.id][o.start : o.end].lower() == o.instance
+            assert o.seed == (o.instance == "ann@example.com")
+            n += 1
+    assert n > 500
