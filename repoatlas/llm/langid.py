@@ -258,8 +258,10 @@ def sample_labelled(
     # Few enough for any task, unless very many languages have their least number.
     if languages * quota <= 2 * max_docs:
         chosen = F.broadcast(chosen)
-    match = (F.col(id_col) == F.col("chosen_id")) & (F.col(label_col).cast("string") == F.col("chosen_lang"))
-    return docs.join(chosen, match).select(F.col("chosen_lang").alias("lang"), F.col(text_col).alias("text"))
+    rows = docs.select(
+        F.col(id_col).alias("chosen_id"), F.col(label_col).cast("string").alias("chosen_lang"), F.col(text_col).alias("text")
+    )
+    return rows.join(chosen, ["chosen_id", "chosen_lang"]).select(F.col("chosen_lang").alias("lang"), "text")
 
 
 def bounded_features(languages: int) -> int:

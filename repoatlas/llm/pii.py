@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repoatlas.functions.arrays import bind
-from repoatlas.llm.rows import text_key
+from repoatlas.llm.rows import text_key, whole_rows
 from repoatlas.llm.tasks import text_of
 from repoatlas.operators.skew import lookup_join
 from repoatlas.session import written
@@ -454,15 +454,14 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         .groupBy(F.col("id").alias("found_id"), F.col("text_key").alias("found_key"))
         .agg(F.first("spans").alias("found_spans"))
     )
-    own = docs.columns
+    text = F.col("row")[text_col]
     return (
-        docs.withColumn("own_key", text_key(text_col))
-        .join(found, F.col(id_col).eqNullSafe(F.col("found_id")) & (F.col("own_key") == F.col("found_key")), "left")
-        .withColumn(
-            text_col,
-            F.when(F.col("found_spans").isNull(), F.col(text_col)).otherwise(
-                _redacted(F.col(text_col), F.col("found_spans"))
-            ),
+        whole_rows(docs, id_col, text_col)
+        .join(found, F.col("row_id").eqNullSafe(F.col("found_id")) & (F.col("row_key") == F.col("found_key")), "left")
+        .select(
+            F.when(F.col("found_spans").isNull(), F.col("row"))
+            .otherwise(F.col("row").withField(f"`{text_col}`", _redacted(text, F.col("found_spans"))))
+            .alias("row")
         )
-        .select(*own)
+        .select("row.*")
     )

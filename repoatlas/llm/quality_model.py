@@ -219,8 +219,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", ma
     )
     # A bounded number of ids, so few enough for any task.
     chosen = known.orderBy(F.xxhash64("known_id"), "known_id").limit(max_docs)
-    return docs.join(F.broadcast(chosen), F.col(id_col) == F.col("known_id")).select(
-        F.col("known_id").alias("id"), F.col("known_label").alias("label"), F.col(text_col).alias("text")
+    texts = docs.select(F.col(id_col).alias("known_id"), F.col(text_col).alias("text"))
+    return texts.join(F.broadcast(chosen), "known_id").select(
+        F.col("known_id").alias("id"), F.col("known_label").alias("label"), "text"
     )
 
 

@@ -184,6 +184,6 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def clean_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The columns of ``docs`` for the documents kept, their failing lines removed."""
-    own = docs.columns
-    cleaned = assess(docs, text_col).filter("kept").withColumn(text_col, F.col("clean_text"))
-    return cleaned.select(*own)
+    rows = docs.select(F.col(text_col).alias("text"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    cleaned = assess(rows, "text").filter("kept")
+    return cleaned.select(F.col("row").withField(f"`{text_col}`", F.col("clean_text")).alias("row")).select("row.*")

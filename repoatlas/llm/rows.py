@@ -11,6 +11,13 @@ def text_key(text: str = "text") -> Column:
     return F.md5(text_of(text).cast("binary"))
 
 
+def whole_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``row_id``, ``row_key`` and all columns as one ``row``, so that no name of theirs meets another."""
+    return docs.select(
+        F.col(id_col).alias("row_id"), text_key(text_col).alias("row_key"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
+    )
+
+
 def keep_rows(docs: DataFrame, verdicts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose verdict is ``kept``, with all their columns.
 
@@ -23,13 +30,12 @@ def keep_rows(docs: DataFrame, verdicts: DataFrame, id_col: str = "doc_id", text
         .agg(F.max("kept").alias("marked_kept"), F.count("*").alias("marked_rows"))
         .filter("marked_rows > 1 or not marked_kept")
     )
-    own = docs.columns
-    keyed = docs.withColumn("marked_text", text_key(text_col)).join(
+    keyed = whole_rows(docs, id_col, text_col).join(
         marked,
-        F.col(id_col).eqNullSafe(F.col("marked_id")) & (F.col("marked_text") == F.col("marked_key")),
+        F.col("row_id").eqNullSafe(F.col("marked_id")) & (F.col("row_key") == F.col("marked_key")),
         "left",
     )
-    single = keyed.filter("marked_kept is null").select(*own)
-    repeated = keyed.filter("marked_kept").dropDuplicates([id_col, "marked_text"]).select(*own)
+    single = keyed.filter("marked_kept is null").select("row.*")
+    repeated = keyed.filter("marked_kept").dropDuplicates(["row_id", "row_key"]).select("row.*")
     return single.unionByName(repeated)
 

@@ -99,5 +99,12 @@ def shard_slots(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 24, id_col: str = "doc_id") -> None:
-    """``docs`` as Parquet with a folder ``shard=n`` for each shard; every task adds its own files."""
-    docs.withColumn("shard", jump_hash(F.xxhash64(id_col), shards)).write.partitionBy("shard").parquet(path)
+    """``docs`` as Parquet with a folder ``shard=n`` for each shard; every task adds its own files.
+
+    Where ``docs`` has a column ``shard``, the folders are named with as many ``_``
+    more as make a new name, and the column stays in the files.
+    """
+    folder = "shard"
+    while folder in (c.lower() for c in docs.columns):
+        folder += "_"
+    docs.withColumn(folder, jump_hash(F.xxhash64(id_col), shards)).write.partitionBy(folder).parquet(path)
