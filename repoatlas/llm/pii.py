@@ -172,19 +172,22 @@ def _looks(unit: Column) -> Column:
     return (F.length(unit) >= MIN_CHARS) & unit.rlike(LOOKS)
 
 
-def _patterns(words: Column, at: Column) -> Column:
-    """The patterns of unit ``at``; those that a text's end or a masked span cuts off are missing."""
-
-    def near(offset: int) -> Column:
-        word = F.get(words, at + offset)
-        return F.when(~word.startswith(MASK), F.lower(word))
-
-    return F.array_compact(
-        F.array(
-            F.concat(F.lit("< "), near(-1)),
-            F.concat(F.lit("<< "), near(-2), F.lit(" "), near(-1)),
-            F.concat(F.lit(">> "), near(1), F.lit(" "), near(2)),
-        )
+def _around(words: Column, at: Column) -> Column:
+    """Unit ``at`` and the two before and after it."""
+    near = {"before": -1, "earlier": -2, "after": 1, "later": 2}
+    return F.struct(F.get(words, at).alias("unit"), *[F.get(words, at + by).alias(name) for name, by in near.items()])
+
+
+def _patterns(around: Column) -> Column:
+    """The patterns of a unit; those that a text's end or a masked span cuts off are null."""
+
+    def word(name: str) -> Column:
+        return F.when(~around[name].startswith(MASK), F.lower(around[name]))
+
+    return F.array(
+        F.concat(F.lit("< "), word("before")),
+        F.concat(F.lit("<< "), word("earlier"), F.lit(" "), word("before")),
+        F.concat(F.lit(">> "), word("after"), F.lit(" "), word("later")),
     )
 
 
@@ -229,7 +232,7 @@ def _occurrences(text: Column, masked: Column, base: Column) -> Column:
                 end.alias("end"),
                 F.exists(base, lambda b: (b["start"] < end) & (b["end"] > start)).alias("seed"),
                 F.lower(F.substring(text, start + 1, end - start)).alias("instance"),
-                _patterns(words, i).alias("patterns"),
+                F.array_compact(bind(_around(words, i), _patterns)).alias("patterns"),
             )
 
         gaps = F.split(masked, UNIT, -1)
@@ -261,11 +264,12 @@ def _ordinary(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
     """The different ordinary words in each of the ``wanted`` patterns: ``pattern``, ``instance``.
 
     Every unit of every text is read; a task keeps those in a wanted pattern.
+    Units leave their text with their four neighbours, not with all of it.
     """
-    words = docs.select(F.regexp_extract_all(text_of(text_col), F.lit(UNIT), F.lit(0)).alias("words"))
-    units = words.select("words", F.posexplode("words").alias("at", "unit")).filter(~_looks(F.col("unit")))
-    placed = units.select(
-        F.lower("unit").alias("instance"), F.explode(_patterns(F.col("words"), F.col("at"))).alias("pattern")
+    words = F.regexp_extract_all(text_of(text_col), F.lit(UNIT), F.lit(0))
+    around = docs.select(F.explode(bind(words, lambda held: F.transform(held, lambda _, i: _around(held, i)))).alias("around"))
+    placed = around.filter(~_looks(F.col("around.unit"))).select(
+        F.lower("around.unit").alias("instance"), F.explode(_patterns(F.col("around"))).alias("pattern")
     )
     return (
         lookup_join(placed, wanted, "pattern", "places", "instance")
