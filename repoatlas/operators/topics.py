@@ -40,6 +40,78 @@ def extract_topics(
     return topics.unionByName(none).withColumnRenamed("doc", doc_id)
 
 
+def collocations(phrases: DataFrame, min_count: int = 3, min_ratio: float = 10.83) -> DataFrame:
+    """``phrase``, ``count``, ``ratio`` of the pairs that stand together more often than by chance.
+
+    ``phrases`` holds ``phrase`` (two terms, one blank) and ``count``, one row
+    per phrase; it is read several times. ``ratio`` is the log-likelihood ratio
+    of the pair's two-by-two table; 10.83 leaves one chance in a thousand.
+    """
+    pairs = phrases.select(
+        "phrase", "count", F.substring_index("phrase", " ", 1).alias("first"), F.substring_index("phrase", " ", -1).alias("second")
+    )
+    firsts = written(pairs.groupBy("first").agg(F.sum("count").alias("row")))
+    seconds = written(pairs.groupBy("second").agg(F.sum("count").alias("col")))
+    total = F.lit(float(phrases.agg(F.sum("count")).first()[0] or 0))
+    frequent = lookup_join(
+        lookup_join(pairs.filter(F.col("count") >= min_count), firsts, "first", "row", "phrase"),
+        seconds, "second", "col", "phrase",
+    )
+    both, row, col = (F.col(c).cast("double") for c in ("count", "row", "col"))
+
+    def cell(seen: Column, by_row: Column, by_col: Column) -> Column:
+        return F.when(seen > 0, seen * F.log(seen * total / (by_row * by_col))).otherwise(0.0)
+
+    ratio = 2 * (
+        cell(both, row, col)
+        + cell(row - both, row, total - col)
+        + cell(col - both, total - row, col)
+        + cell(total - row - col + both, total - row, total - col)
+    )
+    return (
+        frequent.filter(both * total > row * col)
+        .select("phrase", "count", F.round(ratio, 4).alias("ratio"))
+        .filter(F.col("ratio") >= min_ratio)
+    )
+
+
+def phrase_topics(
+    docs: DataFrame, n: int = 10, doc_id: str = "id", text: str = "readme",
+    min_count: int = 3, min_ratio: float = 10.83,
+) -> DataFrame:
+    """Per document its ``n`` strongest two-term phrases, in order of first appearance.
+
+    Phrases are the corpus's ``collocations`` and ranked by their ratio; equal
+    ones by name. They are distinct, with ", " between them; a document without
+    one, or a null one, has an empty text. Each text is split once, inside its
+    row, and the corpus counts are made of that written table. No text is
+    shuffled.
+    """
+    tokens = terms(text)
+    pairs = bind(
+        tokens,
+        lambda held: F.transform(
+            F.slice(held, F.lit(2), F.greatest(F.size(held) - 1, F.lit(0))),
+            lambda t, i: F.concat_ws(" ", F.get(held, i), t),
+        ),
+    )
+    counted = written(docs.select(F.col(doc_id).alias("doc"), term_places(pairs).alias("found")))
+    placed = counted.select("doc", F.explode("found").alias("t")).select("doc", F.col("t.term").alias("phrase"), "t.tf", "t.first_pos")
+    phrases = written(placed.groupBy("phrase").agg(F.sum("tf").alias("count")))
+    strong = written(collocations(phrases, min_count, min_ratio))
+    # A document without a strong phrase keeps one row, which has no ratio.
+    rows = counted.select("doc", F.explode_outer("found").alias("t")).select(
+        "doc", F.col("t.term").alias("phrase"), "t.first_pos"
+    )
+    ranked = lookup_join(rows, strong, "phrase", "count", "doc").withColumn(
+        "entry", F.when(F.col("ratio").isNotNull(), F.struct((-F.col("ratio")).alias("by"), "phrase", "first_pos"))
+    )
+    # One document's phrases form a group, never more than the document is long.
+    best = ranked.groupBy("doc").agg(F.slice(F.sort_array(F.collect_list("entry")), 1, n).alias("best"))
+    shown = F.sort_array(F.transform("best", lambda e: F.struct(e["first_pos"].alias("at"), e["phrase"].alias("phrase"))))
+    return best.select(F.col("doc").alias(doc_id), F.array_join(F.transform(shown, lambda e: e["phrase"]), ", ").alias("topics"))
+
+
 def language_scores(text) -> Column:
     """Per language of the profile, how many of its words the text has."""
     tokens = F.split(F.lower(_column(text)), f"[{ASCII_NO_LETTERS}]+")

@@ -9,6 +9,7 @@ from repoatlas.functions.vectors import l2_normalize
 from repoatlas.operators import classify as K
 from repoatlas.operators import keywords as W
 from repoatlas.operators import neighbors as N
+from repoatlas.operators import similarity_join as J
 from repoatlas.plans import inputs as I
 from repoatlas.plans.registry import query
 from repoatlas.session import cut_lineage
@@ -271,3 +272,27 @@ def knn_topk(spark, sf_dir):
         F.col("label").alias("query_id"), F.col("centroid").alias("embedding")
     )
     return N.knn_topk(vectors, queries, 10)
+
+
+# --- similar texts ----------------------------------------------------------
+
+# Least cosine, in hundredths, of similar documents, and of a document and a question.
+_SIMILAR, _ANSWERING = 60, 30
+
+
+@query(
+    "similar_documents",
+    f"""WITH {I.SQL_CLEANED},
+        split AS (SELECT doc_id, list_sort(list_distinct({I.sql_terms('readme')})) AS terms FROM cleaned),
+        classed AS (SELECT doc_id, terms, len(terms) AS n, min(doc_id) OVER (PARTITION BY terms) AS class_id FROM split),
+        placed AS (SELECT class_id, n, unnest(terms) AS term FROM classed WHERE doc_id = class_id),
+        pairs AS (SELECT a.class_id AS a, b.class_id AS b FROM placed a JOIN placed b USING (term)
+          WHERE a.class_id <> b.class_id GROUP BY a.class_id, b.class_id, a.n, b.n
+          HAVING 10000 * count(*) * count(*) >= {_SIMILAR ** 2} * a.n * b.n),
+        links AS (SELECT a AS class_id, count(*) AS n_links FROM pairs GROUP BY a)
+        SELECT doc_id, class_id, n AS n_terms, coalesce(n_links, 0) AS n_links
+        FROM classed LEFT JOIN links USING (class_id)""",
+)
+def similar_documents(spark, sf_dir):
+    """Every document's class of equal terms and how many other classes are similar."""
+    return J.similar_rows(I.cleaned(spark, sf_dir), _SIMILAR, "doc_id", "readme")

@@ -20,7 +20,7 @@ from repoatlas.operators.inference import hash_embeddings, infer, lead_summarize
 from repoatlas.operators.keyword_table import match_keywords
 from repoatlas.operators.phrase_index import build_phrase_index, phrase_search
 from repoatlas.operators.prompts import summary_messages
-from repoatlas.operators.topics import detect_language, extract_topics, route_language
+from repoatlas.operators.topics import detect_language, extract_topics, phrase_topics, route_language
 from repoatlas.plans import inputs as I
 from repoatlas.plans.registry import query
 from repoatlas.session import use_checkpoint_folder
@@ -219,6 +219,42 @@ def topics(spark, sf_dir):
     return extract_topics(I.cleaned(spark, sf_dir), 10, "doc_id", "readme")
 
 
+def _sql_cell(seen: str, by_row: str, by_col: str) -> str:
+    return f"CASE WHEN {seen} > 0 THEN ({seen}) * ln(({seen}) * total / (({by_row}) * ({by_col}))) ELSE 0.0 END"
+
+
+_SQL_RATIO = " + ".join(
+    _sql_cell(*cell)
+    for cell in (
+        ("k", "r", "c"),
+        ("r - k", "r", "total - c"),
+        ("c - k", "total - r", "c"),
+        ("total - r - c + k", "total - r", "total - c"),
+    )
+)
+
+
+@query(
+    "phrase_topics",
+    f"""WITH {I.SQL_CLEANED},
+        split AS (SELECT doc_id, {I.sql_terms('readme')} AS terms FROM cleaned),
+        placed AS (SELECT doc_id, unnest(list_zip(terms[:-2], terms[2:])) AS pair,
+          unnest(range(len(terms) - 1)) AS pos FROM split WHERE len(terms) > 1),
+        found AS (SELECT doc_id, pair[1] AS a, pair[2] AS b, min(pos) AS first_pos, count(*) AS tf FROM placed GROUP BY ALL),
+        counts AS (SELECT a, b, CAST(sum(tf) AS DOUBLE) AS k FROM found GROUP BY ALL),
+        tabled AS (SELECT a, b, k, CAST(sum(k) OVER (PARTITION BY a) AS DOUBLE) AS r,
+          CAST(sum(k) OVER (PARTITION BY b) AS DOUBLE) AS c, CAST(sum(k) OVER () AS DOUBLE) AS total FROM counts),
+        rated AS (SELECT a, b, round(2 * ({_SQL_RATIO}), 4) AS ratio FROM tabled WHERE k >= 3 AND k * total > r * c),
+        ranked AS (SELECT doc_id, a || ' ' || b AS phrase, first_pos,
+            row_number() OVER (PARTITION BY doc_id ORDER BY ratio DESC, a || ' ' || b) AS rank
+          FROM found JOIN rated USING (a, b) WHERE ratio >= 10.83)
+        SELECT doc_id, coalesce(string_agg(phrase, ', ' ORDER BY first_pos), '') AS topics
+        FROM documents LEFT JOIN ranked USING (doc_id) WHERE coalesce(rank, 1) <= 10 GROUP BY doc_id""",
+)
+def topic_phrases(spark, sf_dir):
+    return phrase_topics(I.cleaned(spark, sf_dir), 10, "doc_id", "readme")
+
+
 def _sql_language(text: str) -> str:
     def count(listed):
         inside = ", ".join(f"'{w}'" for w in listed)
