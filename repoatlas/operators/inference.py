@@ -14,6 +14,10 @@ from repoatlas.functions.text import terms
 from repoatlas.functions.vectors import l2_normalize
 from repoatlas.session import ship_package, written
 
+# Values of about so many characters, or so many of them, are handed to a model at a time.
+SLICE_CHARS = 1_000_000
+SLICE_ROWS = 2_000
+
 _SPACES = re.compile(f"[{SPACES}{WIDE_SPACES}]+")
 
 
@@ -27,7 +31,8 @@ def infer(
     """``rows`` with ``out_col`` from a model over batches of ``in_col``.
 
     ``load`` runs once per task and returns the batch function, so a model is
-    loaded once and then sees Arrow batches.
+    loaded once and then sees Arrow batches, long ones in slices. What it makes
+    on the way is then bounded, however many rows a task has.
     """
     ship_package(rows.sparkSession)
 
@@ -35,18 +40,31 @@ def infer(
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()
         for batch in batches:
-            yield model(batch)
+            yield pd.concat([pd.Series(model(part)) for part in _slices(batch)], ignore_index=True)
 
     return rows.withColumn(out_col, run(in_col))
 
 
+def _slices(batch: pd.Series) -> Iterator[pd.Series]:
+    """Consecutive values, cut by the characters of texts; an empty batch is one slice."""
+    texts = batch.dtype == object or pd.api.types.is_string_dtype(batch.dtype)
+    sizes = [len(v) if isinstance(v, str) else 0 for v in batch] if texts else [0] * len(batch)
+    start = size = 0
+    for row, more in enumerate(sizes):
+        if row > start and (size + more > SLICE_CHARS or row - start >= SLICE_ROWS):
+            yield batch.iloc[start:row].reset_index(drop=True)
+            start, size = row, 0
+        size += more
+    yield batch.iloc[start:].reset_index(drop=True)
+
+
 def lead_summarizer(count: int = 3) -> Callable[[], Callable[[pd.Series], pd.Series]]:
     """The stand-in for a summarizing model: the first sentences of a whole batch."""
 
     def load():
         def first(texts: pd.Series) -> pd.Series:
             flat = texts.str.replace(_SPACES, " ", regex=True).str.strip(" ")
-            return flat.str.split(r"(?<=[.!?]) ", regex=True).str[:count].str.join(" ")
+            return flat.str.split(r"(?<=[.!?]) ", n=count, regex=True).str[:count].str.join(" ")
 
         return first
 

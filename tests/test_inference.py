@@ -60,3 +60,21 @@ def test_prompts(spark):
     assert "Choose from: 'AI - Machine Learning'" in category[1].content
     assert "'- alpha', '- beta'" in relevance[1].content
     assert docs.select(F.size(P.summary_messages("t"))).first()[0] == 2
+
+
+def test_a_model_sees_a_long_batch_in_slices(spark):
+    sizes = [900_000, 200_000, 10, 1_500_000, 5]
+    rows = spark.createDataFrame([(n, "x" * size) for n, size in enumerate(sizes)], "id long, t string").coalesce(1)
+
+    def load():
+        return lambda texts: pd.Series([int(texts.str.len().sum())] * len(texts))
+
+    out = M.infer(rows, "t", "n", load, T.LongType()).select("id", "n")
+    assert dict(map(tuple, out.collect())) == {0: 900_000, 1: 200_010, 2: 200_010, 3: 1_500_000, 4: 5}
+    many = spark.range(0, 5000, 1, 1).withColumn("t", F.lit("a"))
+    assert M.infer(many, "t", "n", load, T.LongType()).agg(F.max("n")).first()[0] == M.SLICE_ROWS
+
+
+def test_lead_summarizer_leaves_later_sentences_uncut():
+    first = M.lead_summarizer(2)()
+    assert list(first(pd.Series(["One. Two! Three? Four. ", "a.", "", None]))) == ["One. Two!", "a.", "", None]
