@@ -1,6 +1,6 @@
 """Joins and numberings that keep a hot key off a single task."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repoatlas.session import cut_lineage
@@ -10,6 +10,9 @@ MAX_BROADCAST_ROWS = 10_000
 MAX_BROADCAST_BYTES = 8 << 20
 # At most this many keys can each hold more than 1/MAX_HOT_KEYS of all rows.
 MAX_HOT_KEYS = 1000
+# At most so many of the commonest keys, none of more bytes, are sent to every task.
+MAX_COMMON_KEYS = 100_000
+MAX_COMMON_BYTES = 64
 
 
 def lookup_join(
@@ -54,6 +57,20 @@ def lookup_join(
     return joined.select(*facts.columns, *merged)
 
 
+def common_keys(lookup: DataFrame, key: str, weight: str, most: int = MAX_COMMON_KEYS) -> Column:
+    """Which rows of ``lookup``, which has one per ``key``, are those of its commonest keys.
+
+    ``weight`` is the count of fact rows per key. Common keys are of bounded
+    length and have a weight above a power of two, the least one that no more
+    than ``most`` keys exceed.
+    """
+    short = F.octet_length(F.col(key).cast("string")) <= MAX_COMMON_BYTES
+    above = [F.count_if(short & (F.col(weight) >= (1 << k))) for k in range(63)]
+    counts = lookup.agg(*above).first()
+    least = next((1 << k for k in range(63) if counts[k] <= most), (1 << 63) - 1)
+    return F.coalesce(short & (F.col(weight) >= least), F.lit(False))
+
+
 def _row_bytes(rows: DataFrame):
     """About how many bytes a row takes."""
     total = F.lit(16)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from repoatlas.fixed_values import ASCII_NO_LETTERS, LANGUAGE_WORDS
 from repoatlas.functions.arrays import bind, constant, kept, literal_strings, term_places
 from repoatlas.functions.text import _column, terms
-from repoatlas.operators.skew import lookup_join
+from repoatlas.operators.skew import common_keys, lookup_join
 from repoatlas.session import written
 
 
@@ -19,14 +19,20 @@ def extract_topics(
     whole corpus. A document without a term has an empty text. Each text is
     split once, inside its row, into terms with their counts and first places;
     that table is written, and the corpus counts, the size of the corpus and
-    the weights are all made of it. No text is shuffled.
+    the weights are all made of it. No text is shuffled. Common terms are
+    weighted where they are, and a task keeps a document's ``n`` best of them;
+    only the others are shuffled.
     """
     counted = written(docs.select(F.col(doc_id).alias("doc"), term_places(terms(text)).alias("found")))
     placed = counted.select("doc", F.explode("found").alias("t")).select("doc", "t.*")
     frequencies = written(placed.groupBy("term").agg(F.count("*").alias("df")))
     corpus = F.lit(float(counted.count()))
     weight = F.col("tf") * (F.log((1 + corpus) / (1 + F.col("df"))) + 1)
-    weighted = lookup_join(placed, frequencies, "term", "df", "doc").select(
+    is_common = common_keys(frequencies, "term", "df")
+    common, others = frequencies.filter(is_common), frequencies.filter(~is_common)
+    in_place = placed.join(F.broadcast(common), "term").select(*placed.columns, "df")
+    rest = placed.join(F.broadcast(common.select("term")), "term", "left_anti")
+    weighted = in_place.unionByName(lookup_join(rest, others, "term", "df", "doc")).select(
         "doc", "term", "first_pos", F.round(weight, 6).alias("weight")
     )
     # One document's terms form a group, never more than the document is long.

@@ -7,6 +7,8 @@ from repoatlas.operators import catalog as C
 from repoatlas.operators import keywords as W
 from repoatlas.operators.dedupe import dedupe_first, duplicate_rows
 from repoatlas.operators.skew import lookup_join, number_rows
+from repoatlas.operators import skew
+from repoatlas.operators import topics as T
 from repoatlas.operators.topics import detect_language, extract_topics, route_language
 
 
@@ -118,3 +120,20 @@ def test_topics_and_language(spark):
         "The end of the day": ("en", "summarize"), "der und die": ("de", "translate"), "xyz": (None, "translate"),
     }
     assert detect_language(texts).columns == ["text", "language_id"]
+
+
+def test_common_terms_are_weighted_where_they_are(spark, monkeypatch):
+    """Whatever is common, the topics are the same, and a common term is not shuffled."""
+    docs = spark.createDataFrame(
+        [(n, f"common word{n % 7} rare{n} common word{n % 3}") for n in range(60)] + [(60, None), (None, "common rare0")],
+        "id long, readme string",
+    )
+    wanted = None
+    for most in (0, 1, 5, 100_000):
+        monkeypatch.setattr(T, "common_keys", lambda *a, most=most: skew.common_keys(*a, most=most))
+        got = sorted(map(repr, map(tuple, extract_topics(docs, 2).collect())))
+        wanted = wanted or got
+        assert got == wanted
+    counts = spark.createDataFrame([("a", 9), ("b", 8), ("c", 3), ("d" * 65, 99), (None, 5)], "k string, n long")
+    held = lambda most: {r.k for r in counts.filter(skew.common_keys(counts, "k", "n", most)).collect()}
+    assert held(0) == held(1) == set() and held(2) == {"a", "b"} and held(3) == {"a", "b", "c"}
