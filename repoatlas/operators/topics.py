@@ -9,6 +9,9 @@ from repoatlas.functions.text import _column, terms
 from repoatlas.operators.skew import common_keys, lookup_join
 from repoatlas.session import written
 
+# At most so many of the commonest strong phrases are sent to every task.
+MAX_COMMON_PHRASES = 300_000
+
 
 def extract_topics(
     docs: DataFrame, n: int = 10, doc_id: str = "id", text: str = "readme"
@@ -53,15 +56,22 @@ def collocations(phrases: DataFrame, min_count: int = 3, min_ratio: float = 10.8
     per phrase; it is read several times. ``ratio`` is the log-likelihood ratio
     of the pair's two-by-two table; 10.83 leaves one chance in a thousand.
     """
-    pairs = phrases.select(
-        "phrase", "count", F.substring_index("phrase", " ", 1).alias("first"), F.substring_index("phrase", " ", -1).alias("second")
-    )
+    pairs = phrases.select("phrase", "count", *_sides())
     firsts = written(pairs.groupBy("first").agg(F.sum("count").alias("row")))
     seconds = written(pairs.groupBy("second").agg(F.sum("count").alias("col")))
-    total = F.lit(float(phrases.agg(F.sum("count")).first()[0] or 0))
+    return _rated(pairs.filter(F.col("count") >= min_count), firsts, seconds, min_ratio)
+
+
+def _sides() -> list[Column]:
+    """The two terms of a ``phrase``."""
+    return [F.substring_index("phrase", " ", 1).alias("first"), F.substring_index("phrase", " ", -1).alias("second")]
+
+
+def _rated(frequent: DataFrame, firsts: DataFrame, seconds: DataFrame, min_ratio: float) -> DataFrame:
+    """The ``frequent`` phrases that are collocations, by how often each term is a phrase's first or second."""
+    total = F.lit(float(firsts.agg(F.sum("row")).first()[0] or 0))
     frequent = lookup_join(
-        lookup_join(pairs.filter(F.col("count") >= min_count), firsts, "first", "row", "phrase"),
-        seconds, "second", "col", "phrase",
+        lookup_join(frequent, firsts, "first", "row", "phrase"), seconds, "second", "col", "phrase"
     )
     both, row, col = (F.col(c).cast("double") for c in ("count", "row", "col"))
 
@@ -91,31 +101,43 @@ def phrase_topics(
     ones by name. They are distinct, with ", " between them; a document without
     one, or a null one, has an empty text. Each text is split once, inside its
     row, and the corpus counts are made of that written table. No text is
-    shuffled.
+    shuffled. Phrases are shuffled to be counted; the commonest strong ones are
+    then found where they are, and a task keeps a document's ``n`` best of them.
     """
-    tokens = terms(text)
     pairs = bind(
-        tokens,
+        terms(text),
         lambda held: F.transform(
             F.slice(held, F.lit(2), F.greatest(F.size(held) - 1, F.lit(0))),
             lambda t, i: F.concat_ws(" ", F.get(held, i), t),
         ),
     )
-    counted = written(docs.select(F.col(doc_id).alias("doc"), term_places(pairs).alias("found")))
-    placed = counted.select("doc", F.explode("found").alias("t")).select("doc", F.col("t.term").alias("phrase"), "t.tf", "t.first_pos")
-    phrases = written(placed.groupBy("phrase").agg(F.sum("tf").alias("count")))
-    strong = written(collocations(phrases, min_count, min_ratio))
-    # A document without a strong phrase keeps one row, which has no ratio.
-    rows = counted.select("doc", F.explode_outer("found").alias("t")).select(
-        "doc", F.col("t.term").alias("phrase"), "t.first_pos"
-    )
-    ranked = lookup_join(rows, strong, "phrase", "count", "doc").withColumn(
-        "entry", F.when(F.col("ratio").isNotNull(), F.struct((-F.col("ratio")).alias("by"), "phrase", "first_pos"))
+    split = written(docs.select(F.col(doc_id).alias("doc"), term_places(pairs).alias("found")))
+    placed = split.select("doc", F.explode("found").alias("t")).select(
+        "doc", F.col("t.term").alias("phrase"), "t.tf", "t.first_pos"
     )
+    frequent = written(placed.groupBy("phrase").agg(F.sum("tf").alias("count")).filter(F.col("count") >= min_count))
+    sides = placed.select("tf", *_sides())
+    firsts = written(sides.groupBy("first").agg(F.sum("tf").alias("row")))
+    seconds = written(sides.groupBy("second").agg(F.sum("tf").alias("col")))
+    strong = written(_rated(frequent.select("phrase", "count", *_sides()), firsts, seconds, min_ratio))
+    placed = placed.drop("tf")
+    is_common = common_keys(strong, "phrase", "count", MAX_COMMON_PHRASES)
+    common, others = strong.filter(is_common), strong.filter(~is_common)
+    found = placed.join(F.broadcast(common), "phrase").select("doc", "phrase", "first_pos", "ratio")
+    if not others.isEmpty():
+        rest = placed.join(F.broadcast(common.select("phrase")), "phrase", "left_anti")
+        named = lookup_join(rest, others, "phrase", "count", "doc").filter("ratio is not null")
+        found = found.unionByName(named.select(*found.columns))
     # One document's phrases form a group, never more than the document is long.
-    best = ranked.groupBy("doc").agg(F.slice(F.sort_array(F.collect_list("entry")), 1, n).alias("best"))
-    shown = F.sort_array(F.transform("best", lambda e: F.struct(e["first_pos"].alias("at"), e["phrase"].alias("phrase"))))
-    return best.select(F.col("doc").alias(doc_id), F.array_join(F.transform(shown, lambda e: e["phrase"]), ", ").alias("topics"))
+    strongest = Window.partitionBy("doc").orderBy(F.desc("ratio"), "phrase", "first_pos")
+    best = found.withColumn("rank", F.row_number().over(strongest)).filter(F.col("rank") <= n)
+    shown = best.select("doc", F.struct(F.col("first_pos").alias("at"), "phrase").alias("entry"))
+    # A document without a strong phrase has a row without an entry.
+    rows = shown.unionByName(split.select("doc", F.lit(None).cast(shown.schema["entry"].dataType).alias("entry")))
+    listed = rows.groupBy("doc").agg(F.sort_array(F.collect_list("entry")).alias("shown"))
+    return listed.select(
+        F.col("doc").alias(doc_id), F.array_join(F.transform("shown", lambda e: e["phrase"]), ", ").alias("topics")
+    )
 
 
 def language_scores(text) -> Column:
