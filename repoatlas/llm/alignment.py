@@ -41,14 +41,16 @@ from repoatlas.session import ship_package, written
 BYTE_BPE = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
 # Parts kept with their groups per Python worker, and the longest that is kept.
-KNOWN_PARTS = 250_000
+KNOWN_PARTS = 150_000
 KNOWN_CHARS = 48
 # New parts of up to so many characters are encoded as one text.
 JOINED_CHARS = 24_000
 # Marks that a word and its text are cut at, where both tokenizers do.
 MARKS = ".,;:!?"
 # Different pairs of irregular groups that a task holds before it passes them on.
-HELD_PAIRS = 1_000_000
+HELD_PAIRS = 250_000
+# Texts of no more bytes than this are split into parts at a time.
+SPLIT_BYTES = 1_000_000
 
 # Between other text, a single blank or line break begins a part.
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
@@ -241,7 +243,7 @@ def aligned_rows(
         vector = np.zeros(len(own.same), np.int64)
         pairs: Counter[int] = Counter()
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, SPLIT_BYTES):
                 split = [parts_of(t) if t else [] for t in part.column(1).to_pylist()]
                 known = own.learn(split)
                 n_a, n_b, told, links = [], [], [], []

@@ -33,12 +33,12 @@ def remainder(column: str = "doc_id", parts: int = 5) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(parts))
 
 
-def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive rows of ``batch``, cut by the bytes of their texts."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start = size = 0
     for row, more in enumerate(sizes):
-        if row > start and (size + more > SLICE_BYTES or row - start >= SLICE_ROWS):
+        if row > start and (size + more > most or row - start >= SLICE_ROWS):
             yield batch.slice(start, row - start)
             start, size = row, 0
         size += more

@@ -4,9 +4,11 @@ import hashlib
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from repoatlas.llm import alignment, queries
+from repoatlas.llm.tasks import slices
 from tests.conftest import SMALL
 from tests.llm.conftest import AWKWARD
 
@@ -130,3 +132,9 @@ def test_awkward_rows(awkward, empty):
     assert nothing == [(0, 0, 0, 0, 0, 0, "")] * 2
     assert all(r.n_groups > 0 for r in rows if r.doc_id in (3, 4, 5, 9))
     assert alignment.alignment_report(empty).collect() == []
+
+
+def test_texts_are_split_in_slices_of_their_own_size():
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3, 4], "text": ["a" * 600_000, "b" * 300_000, "c" * 200_000, None]})
+    assert [part.num_rows for part in slices(batch, 1, alignment.SPLIT_BYTES)] == [2, 2]
+    assert [part.num_rows for part in slices(batch, 1)] == [4]
