@@ -261,10 +261,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def _ordinary(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
-    """The different ordinary words in each of the ``wanted`` patterns: ``pattern``, ``instance``.
+    """The ordinary words in each of the ``wanted`` patterns, repeats included: ``pattern``, ``instance``.
 
     Every unit of every text is read; a task keeps those in a wanted pattern.
     Units leave their text with their four neighbours, not with all of it.
+    Repeats go when the graph's edges are made, so that they meet in one shuffle.
     """
     words = F.regexp_extract_all(text_of(text_col), F.lit(UNIT), F.lit(0))
     around = docs.select(F.explode(bind(words, lambda held: F.transform(held, lambda _, i: _around(held, i)))).alias("around"))
@@ -275,7 +276,6 @@ def _ordinary(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
         lookup_join(placed, wanted, "pattern", "places", "instance")
         .filter("places is not null")
         .select("pattern", "instance")
-        .distinct()
     )
 
 

@@ -167,3 +167,12 @@ def test_places_of_units(table):
             assert o.seed == (o.instance == "ann@example.com")
             n += 1
     assert n > 500
+
+
+def test_ordinary_words_meet_the_graph_in_one_shuffle(spark, table):
+    """Repeats are not shuffled away first: the graph's own grouping does it."""
+    docs = table([(1, "the cat of the cat"), (2, "the cat")])
+    wanted = spark.createDataFrame([("< the", 3)], "pattern string, places long")
+    found = pii._ordinary(docs, wanted, "text")
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [("< the", "cat")] * 3
