@@ -339,7 +339,8 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     later = left.withColumn("place", F.row_number().over(in_order)).filter("known or place > 1")
     starts = later.groupBy(*DOC).agg(F.collect_set("start").alias("starts"))
     cuts = _same_doc(factors.select(*DOC, "spans"), starts, "left")
-    return written(cuts.filter("size(spans) > 0 or starts is not null"))
+    # Not written: one shuffle of the texts by document then serves this join and the caller's.
+    return cuts.filter("size(spans) > 0 or starts is not null")
 
 
 def _cut(rows: DataFrame, found: DataFrame, window: int, keep: list[str]) -> DataFrame:

@@ -29,6 +29,21 @@ def told(df):
     return {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in df.collect()}
 
 
+def test_texts_are_shuffled_once(spark, table):
+    rows = [(n, f"{n} " + "the same words again " * 9) for n in range(6)]
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        found = substring_dedup.passage_report(table(rows))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "ReusedExchange [id" in plan and told(found) == dict(enumerate(brute([t for _, t in rows])))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_matches_sql(spark):
     name = "op13_substring_dedup"
     assert difference(queries.QUERIES[name](spark, SMALL), duck(SMALL), queries.ORACLE[name]) is None
