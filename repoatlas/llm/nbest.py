@@ -6,6 +6,7 @@ with that cost as its heuristic; being exact, the search completes the
 segmentations in order of their cost.
 """
 
+import gc
 import heapq
 import zlib
 from array import array
@@ -48,12 +49,12 @@ def forward_all(words: Iterable[str], pieces: Vocabulary) -> Iterator[tuple[str,
     What holds for the beginning of a word holds for the next word that shares
     it, so it is kept. The lists are good until the next word.
     """
-    begins, unknown = pieces.begins, pieces.unknown_cost
+    roots, unknown = pieces.tree, pieces.unknown_cost
     cost, back = [0], [0]
     # Cost of the second best way to every place; none is as good as endless.
     second = [ENDLESS]
-    # Places from where a piece may still reach beyond.
-    open_at: list[list[int]] = [[]]
+    # Places from where a piece may still reach beyond, each with the node of the tree it came to.
+    open_at: list[list[tuple[int, dict]]] = [[]]
     last = ""
     for word in sorted(words):
         shared = 0
@@ -63,34 +64,38 @@ def forward_all(words: Iterable[str], pieces: Vocabulary) -> Iterator[tuple[str,
             shared += 1
         for held in (cost, back, second, open_at):
             del held[shared + 1 :]
-        for end in range(shared + 1, len(word) + 1):
-            came = end - 1
-            single = begins.get(word[came:end], ENDLESS)
-            still = []
+        came = shared
+        for letter in word[shared:]:
+            single = roots.get(letter)
             # A character of no piece is its bytes.
-            own = unknown if single is None or single == ENDLESS else single
+            own = unknown if single is None or single[1] is None else single[1]
+            start = came
             best, runner = cost[came] + own, second[came] + own
-            for start in open_at[came]:
-                own = begins.get(word[start:end], ENDLESS)
-                if own == ENDLESS:
+            still = []
+            for begin, node in open_at[came]:
+                step = node.get(letter)
+                if step is None:
                     continue
-                still.append(start)
+                node, own = step
+                if node:
+                    still.append((begin, node))
                 if own is None:
                     continue
-                found = cost[start] + own
+                found = cost[begin] + own
                 if found < best:
-                    best, runner, came = found, best, start
+                    best, runner, start = found, best, begin
                 elif found < runner:
                     runner = found
-                found = second[start] + own
+                found = second[begin] + own
                 if found < runner:
                     runner = found
-            if single != ENDLESS:
-                still.append(end - 1)
+            if single is not None and single[0]:
+                still.append((came, single[0]))
             cost.append(best)
-            back.append(came)
+            back.append(start)
             second.append(runner)
             open_at.append(still)
+            came += 1
         yield word, cost, back, None if second[-1] >= ENDLESS else second[-1]
         last = word
 
@@ -147,18 +152,18 @@ class NBestCoder:
 
     def __init__(self, pieces: Vocabulary):
         self.pieces = pieces
-        self.known: dict[str, tuple[bytes, int, int | None]] = {}
+        self.known: dict[str, tuple[bytes, int, int]] = {}
 
-    def split(self, texts: list[str | None]) -> tuple[list[list[str]], dict[str, tuple[bytes, int, int | None]]]:
+    def split(self, texts: list[str | None]) -> tuple[list[list[str]], dict[str, tuple[bytes, int, int]]]:
         """The pre-tokens of each text, and the entries of those not kept."""
         split = [pre_tokens(t) if t else [] for t in texts]
         if len(self.known) > CACHED_WORDS:
             # Common words came first.
             self.known = dict(islice(self.known.items(), CACHED_WORDS // 2))
         once = {}
-        missing = set().union(*split) - self.known.keys() if split else set()
+        missing = set().union(*split).difference(self.known)
         for word, cost, back, second in forward_all(missing, self.pieces):
-            entry = self._ids(best_pieces(word, back)), cost[-1], None if second is None else second - cost[-1]
+            entry = self._best_ids(word, back), cost[-1], ENDLESS if second is None else second - cost[-1]
             (self.known if len(word) <= CACHED_CHARS else once)[word] = entry
         return split, once
 
@@ -170,17 +175,35 @@ class NBestCoder:
         a change of another could be replaced by one of theirs. Those few are
         searched, and their ways are combined, least cost first.
         """
-        split, once = self.split(texts)
-        return [self._encode(words, once, n) for words in split]
-
-    def _encode(self, words: list[str], once: dict, n: int) -> list[tuple[int, bytes]]:
-        known = self.known
-        entries = [known[w] if w in known else once[w] for w in words] if once else [known[w] for w in words]
-        base = sum([e[1] for e in entries])
-        raw = [e[0] for e in entries]
-        changes = heapq.nsmallest(n - 1, ((e[2], place) for place, e in enumerate(entries) if e[2] is not None))
+        collects = gc.isenabled()
+        # Nothing here refers to itself; searching hundreds of thousands of kept entries for that is dear.
+        gc.disable()
+        try:
+            split, once = self.split(texts)
+            self.known.update(once)
+            found = [self._encode(words, n) for words in split]
+            for word in once:
+                del self.known[word]
+        finally:
+            if collects:
+                gc.enable()
+        return found
+
+    def _encode(self, words: list[str], n: int) -> list[tuple[int, bytes]]:
+        if not words:
+            return [(0, b"")]
+        raw, costs, more = map(list, zip(*map(self.known.__getitem__, words)))
+        base = sum(costs)
+        changes = []
+        for _ in range(min(n - 1, len(words))):
+            least = min(more)
+            if least >= ENDLESS:
+                break
+            # Of equal ones the first.
+            changes.append(more.index(least))
+            more[changes[-1]] = ENDLESS
         ways = [(0, ())]
-        for _, place in changes:
+        for place in changes:
             own = search(words[place], n, self.pieces)
             # Of several best ways the search may have come by another first.
             raw[place] = self._ids(own[0][1])
@@ -193,21 +216,37 @@ class NBestCoder:
                 ),
                 key=lambda w: w[0],
             )
+        whole = b"".join(raw)
+        # Other ways are the whole with the bytes of a few pre-tokens exchanged.
+        changed = {place for _, chosen in ways for place, _ in chosen}
+        begins = {place: sum(map(len, raw[:place])) for place in changed}
         found = []
         for more, chosen in ways:
-            changed = raw.copy() if chosen else raw
-            for place, names in chosen:
-                changed[place] = self._ids(names)
-            found.append((base + more, b"".join(changed)))
+            parts, last = [], 0
+            for place, names in sorted(chosen):
+                parts += whole[last : begins[place]], self._ids(names)
+                last = begins[place] + len(raw[place])
+            found.append((base + more, b"".join([*parts, whole[last:]])))
         return found
 
+    def _best_ids(self, word: str, back: list[int]) -> bytes:
+        """The ids of ``best_pieces``."""
+        number, found, end = self.pieces.ids.get, [], len(word)
+        while end:
+            start = back[end]
+            found.append(number(word[start:end]))
+            end = start
+        if None in found:
+            return self._ids(best_pieces(word, back))
+        found.reverse()
+        return array("I", found).tobytes()
+
     def _ids(self, names: list[str]) -> bytes:
         return array("I", [i for p in names for i in self.pieces.encode_piece(p)]).tobytes()
 
     def decode(self, ids: bytes) -> str:
         """The text of an encoding: pieces and bytes joined, marks made blanks, the first dropped."""
-        texts = self.pieces.texts
-        raw = b"".join([texts[i] for i in array("I", ids)])
+        raw = b"".join(map(self.pieces.texts.__getitem__, array("I", ids)))
         text = raw.decode("utf-8", "replace").replace(BLANK, " ")
         return text[1:] if text.startswith(" ") else text
 

@@ -7,7 +7,7 @@ that sums are exact and ties are ties.
 """
 
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -54,6 +54,15 @@ class Vocabulary:
             for n in names
         ]
 
+    @cached_property
+    def tree(self) -> dict[str, tuple[dict, int | None]]:
+        """``begins`` per letter: the node beyond it, and the cost of the piece that ends there."""
+        nodes = {"": {}}
+        for name in sorted(self.begins):
+            nodes[name] = {}
+            nodes[name[:-1]][name[-1]] = nodes[name], self.begins[name]
+        return nodes[""]
+
     def encode_piece(self, piece: str) -> list[int]:
         """The id of a piece, or its bytes' ids if it is an unknown character."""
         number = self.ids.get(piece)

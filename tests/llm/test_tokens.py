@@ -1,3 +1,4 @@
+import gc
 import random
 from array import array
 
@@ -136,3 +137,14 @@ def test_totals_by_group(table):
     docs = table([(1, "one two", "en"), (2, None, "en"), (3, "drei", "de")])
     got = {r.lang: (r.n_docs, r.n_bytes) for r in token_counts.corpus_tokens(docs, "lang").collect()}
     assert got == {"en": (2, 7), "de": (1, 4)}
+
+
+def test_kept_words_are_not_searched_for_cycles():
+    coder, found = nbest.NBestCoder(pieces.vocabulary()), []
+    told = lambda phase, info: found.append(phase)
+    gc.callbacks.append(told)
+    try:
+        coder.encode([" ".join(f"{n}word{n}" for n in range(k, k + 5_000)) for k in range(0, 20_000, 5_000)])
+    finally:
+        gc.callbacks.remove(told)
+    assert not found and gc.isenabled()
