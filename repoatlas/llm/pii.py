@@ -36,16 +36,20 @@ MASK = "\ue000"
 # The units of a masked text: a masked span, else up to six groups of digits as
 # in "(614) 555-8001" that no letter follows, else a word without the marks around
 # it. A word ends in a character that could begin one, so a text is read once.
+# White space is listed: beside ``MASK``, ``\s`` makes the JVM take ten times as long.
 UNIT = (
     MASK + "++"
     r"|[(+]{0,2}+[0-9]++(?:\)?[\x20.-]?\(?[0-9]++){0,5}+(?![\p{L}_@])"
-    r"|[\p{L}\p{N}_](?:[^\s\"'=:,;()<>\[\]{}|!?" + MASK + r"]*[\p{L}\p{M}\p{N}_])?"
+    r"|[\p{L}\p{N}_](?:[^\x20\t\n\x0b\f\r\"'=:,;()<>\[\]{}|!?" + MASK + r"]*[\p{L}\p{M}\p{N}_])?"
 )
 # A unit can be an identifier if it has three digits, or a digit and a letter, or
 # one of ``._@`` between two others. Units of fewer characters, and other words,
 # only count against the patterns they stand in.
 LOOKS = r"^(?:(?:[^0-9]*+[0-9]){3}|(?=[^\p{L}]*+\p{L})[^0-9]*+[0-9]|.*?[\p{L}\p{N}][._@][\p{L}\p{N}])"
 MIN_CHARS = 5
+# What a unit that can be an identifier has, and what a text with such a unit has.
+SIGN = "[0123456789._@]"
+SIGNS = r"[0123456789" + MASK + r"]|[\p{L}\p{N}][._@][\p{L}\p{N}]"
 # Lengths are added up in blocks of 2**BLOCK units.
 BLOCK = 6
 
@@ -55,6 +59,12 @@ MIN_SUPPORT = 2
 MIN_SCORE = 0.5
 MAX_ROUNDS = 20
 
+# A part of the texts, one in so many, is read first for patterns without hope.
+PARTS = 32
+# At most so many wanted patterns are sent to every task, and so many stand in the plan.
+MAX_WANTED = 100_000
+MAX_LISTED = 5_000
+
 NONE = "array<struct<start:int,end:int,match:string>>"
 
 
@@ -169,7 +179,7 @@ def _masked(text: Column, spans: Column) -> Column:
 
 
 def _looks(unit: Column) -> Column:
-    return (F.length(unit) >= MIN_CHARS) & unit.rlike(LOOKS)
+    return (F.length(unit) >= MIN_CHARS) & unit.rlike(SIGN) & unit.rlike(LOOKS)
 
 
 def _around(words: Column, at: Column) -> Column:
@@ -246,7 +256,8 @@ def _occurrences(text: Column, masked: Column, base: Column) -> Column:
 
     found = bind(F.regexp_extract_all(masked, F.lit(UNIT), F.lit(0)), search)
     # The mask's own character in a text makes neither a seed nor an identifier.
-    return F.filter(found, lambda o: o["seed"] | ~o["instance"].startswith(MASK))
+    kept = F.filter(found, lambda o: o["seed"] | ~o["instance"].startswith(MASK))
+    return F.when(masked.rlike(SIGNS), kept).otherwise(F.array().cast(PLACE))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,25 +275,75 @@ def _ordinary(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
     """The ordinary words in each of the ``wanted`` patterns, repeats included: ``pattern``, ``instance``.
 
     Every unit of every text is read; a task keeps those in a wanted pattern.
-    Units leave their text with their four neighbours, not with all of it.
+    Units leave their text with their four neighbours, not with all of it, and,
+    where few patterns are wanted, only those beside a word of one.
     Repeats go when the graph's edges are made, so that they meet in one shuffle.
     """
     words = F.regexp_extract_all(text_of(text_col), F.lit(UNIT), F.lit(0))
-    around = docs.select(F.explode(bind(words, lambda held: F.transform(held, lambda _, i: _around(held, i)))).alias("around"))
+    listed = _listed(wanted)
+
+    def near(held: Column) -> Column:
+        if listed is None:
+            return F.transform(held, lambda _, i: _around(held, i))
+        before, after = listed
+        beside = lambda lower: F.array_compact(
+            F.transform(lower, lambda _, i: F.when(F.get(lower, i - 1).isin(before) | F.get(lower, i + 1).isin(after), i))
+        )
+        return F.transform(bind(F.transform(held, lambda word: F.lower(word)), beside), lambda i: _around(held, i))
+
+    around = docs.select(F.explode(bind(words, near)).alias("around"))
     placed = around.filter(~_looks(F.col("around.unit"))).select(
         F.lower("around.unit").alias("instance"), F.explode(_patterns(F.col("around"))).alias("pattern")
     )
     return (
-        lookup_join(placed, wanted, "pattern", "places", "instance")
+        lookup_join(placed, wanted, "pattern", "places", "instance", MAX_WANTED)
         .filter("places is not null")
         .select("pattern", "instance")
     )
 
 
+def _listed(wanted: DataFrame) -> tuple[list[str], list[str]] | None:
+    """The words that may stand just before, and just after, a unit in one of the ``wanted`` patterns.
+
+    Groups of digits may hold blanks, so all that may be the nearer of two words
+    are listed. None if too many patterns are wanted.
+    """
+    patterns = [r.pattern for r in wanted.select("pattern").limit(MAX_LISTED + 1).collect()]
+    if len(patterns) > MAX_LISTED:
+        return None
+    before, after = set(), set()
+    for side, _, words in (p.partition(" ") for p in patterns):
+        cuts = [k for k, c in enumerate(words) if c == " "]
+        if side == "<":
+            before.add(words)
+        elif side == "<<":
+            before.update(words[k + 1 :] for k in cuts)
+        else:
+            after.update(words[:k] for k in cuts)
+    return sorted(before), sorted(after)
+
+
+def _hopeful(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
+    """Those of the ``wanted`` patterns that could still become confident, with ``places``.
+
+    A pattern with more than ``support / MIN_SCORE`` different ordinary words
+    cannot reach the score, whatever its other units. Many show that in a small
+    part of the texts, and their words are then not gathered from all of them.
+    """
+    part = docs.filter(F.pmod(F.xxhash64(text_of(text_col)), F.lit(PARTS)) == 0)
+    words = _ordinary(part, wanted, text_col).groupBy("pattern", "instance").agg(F.count("*").alias("times"))
+    counts = words.groupBy("pattern").agg(F.count("*").alias("words"))
+    hopeful = wanted.join(counts, "pattern", "left").filter(
+        F.coalesce("words", F.lit(0)) * MIN_SCORE <= F.col("support")
+    )
+    return written(hopeful.select("pattern", "places"))
+
+
 def _reachable(edges: DataFrame) -> DataFrame:
     """Every ``pattern`` that could become confident, with its ``places`` among trusted units.
 
-    The bootstrap without ordinary words, which can only lower a score. A round
+    ``support`` is the most different trusted units that it can have. The
+    bootstrap without ordinary words, which can only lower a score. A round
     reads the edges of trusted units and those of the patterns beside at least
     ``MIN_SUPPORT`` of them, and no others.
     """
@@ -309,7 +370,7 @@ def _reachable(edges: DataFrame) -> DataFrame:
             inside.groupBy("pattern")
             .agg(F.sum("held").alias("places"), F.max("support").alias("support"), F.count("*").alias("instances"))
             .filter(F.col("support") >= MIN_SCORE * F.col("instances"))
-            .select("pattern", "places")
+            .select("pattern", "places", "support")
         )
         more = lookup_join(inside.select("pattern", "instance", "held"), found, "pattern", "places", "instance")
         trusted = written(
@@ -370,10 +431,12 @@ def confident_patterns(
     scanned: DataFrame, docs: DataFrame, text_col: str = "text"
 ) -> DataFrame:
     """``pattern``, ``score``, ``places`` of the patterns that name identifiers, from a ``scan`` of ``docs``."""
-    edges = scanned.select(F.explode("occurrences").alias("o")).select(
-        F.explode("o.patterns").alias("pattern"), "o.instance", "o.seed"
+    edges = written(
+        scanned.select(F.explode("occurrences").alias("o")).select(
+            F.explode("o.patterns").alias("pattern"), "o.instance", "o.seed"
+        )
     )
-    wanted = _reachable(edges)
+    wanted = _hopeful(docs, _reachable(edges), text_col)
     known = lookup_join(edges, wanted, "pattern", "places", "instance").filter("places is not null")
     ordinary = _ordinary(docs, wanted, text_col)
     graph = known.select("pattern", "instance", "seed", F.lit(False).alias("plain")).unionByName(

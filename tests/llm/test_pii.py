@@ -176,3 +176,52 @@ def test_ordinary_words_meet_the_graph_in_one_shuffle(spark, table):
     found = pii._ordinary(docs, wanted, "text")
     assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, found.collect())) == [("< the", "cat")] * 3
+
+
+def test_patterns_without_hope_are_dropped_before_all_texts_are_read(spark, table, monkeypatch):
+    """Two trusted units of four make a score of a half; a fifth word takes it away."""
+    rows = [(n, f"{pattern} {word} {pattern} {word}") for pattern, count in (("the", 5), ("id", 4)) for n, word in enumerate("abcdefg"[:count])]
+    wanted = spark.createDataFrame([("< the", 9, 2), ("< id", 9, 2), ("< unseen", 9, 2)], "pattern string, places long, support long")
+    monkeypatch.setattr(pii, "PARTS", 1)
+    kept = pii._hopeful(table(rows), wanted, "text")
+    # Each pattern's own word stands behind none of its own.
+    assert sorted(map(tuple, kept.collect())) == [("< id", 9), ("< unseen", 9)]
+
+
+def test_identifiers_do_not_depend_on_what_is_read_first_or_listed(table, monkeypatch):
+    rows = _contextual()
+    near = [("call 614 555 8001 at", 3), ("by (614) 555-8002 at", 3), ("re 7 at", 2)]
+    rows += [(1000 + n, f"{words} user{n}@example.org now") for n, (words, count) in enumerate(near * 3)]
+    rows += [(2000 + n, f"{words} QX-{n}77{n}9 now, at 12 home") for n, (words, count) in enumerate(near)]
+    got = []
+    for parts, listed in ((32, 1000), (1, 1000), (1, 0), (10**9, 0)):
+        monkeypatch.setattr(pii, "PARTS", parts)
+        monkeypatch.setattr(pii, "MAX_LISTED", listed)
+        got.append(sorted(map(tuple, pii.pii_report(table(rows)).collect())))
+    assert got[0] == got[1] == got[2] == got[3]
+    assert sum(row[5] for row in got[0]) > len(PLANTED)
+
+
+def test_texts_without_signs_hold_no_identifiers(table, monkeypatch):
+    """What is not searched holds nothing: with tests that pass every text and unit, all is the same."""
+    rng = random.Random(8)
+    alphabet = "aab1.@-+ ()239é😀_%b\nÀ:\t" + pii.MASK
+    rows = [(k, "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 25)))) for k in range(1500)]
+    rows += [(k, "plain words only, and more.") for k in range(1500, 1510)]
+    found = [sorted(map(repr, pii.scan(table(rows)).collect()))]
+    monkeypatch.setattr(pii, "SIGN", "")
+    monkeypatch.setattr(pii, "SIGNS", "")
+    found.append(sorted(map(repr, pii.scan(table(rows)).collect())))
+    assert found[0] == found[1] and any("instance=" in r for r in found[0])
+
+
+def test_white_space_is_listed_and_parts_units(spark):
+    """Beside the mask, the class of white space makes the JVM ten times slower."""
+    old = pii.UNIT.replace(r"\x20\t\n\x0b\f\r\"", r"\s\"")
+    assert r"\s" not in pii.UNIT and old != pii.UNIT
+    spaces = "".join(map(chr, [*range(1, 33), 0x85, 0xA0, 0x1680, 0x2003, 0x2028, 0x202F, 0x3000]))
+    text = "".join(f"ab{c}cd" for c in spaces)
+    found = spark.sql("select regexp_extract_all(:t, :new, 0) = regexp_extract_all(:t, :old, 0)", args={
+        "t": text, "new": pii.UNIT, "old": old
+    })
+    assert found.first()[0]
